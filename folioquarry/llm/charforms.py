@@ -202,21 +202,26 @@ def look_alike_pairs(df: DataFrame, record: str, scope: list[str], column: str)
 
 
 @cache
-def _python_table() -> dict[int, str]:
-    return {ord(r[0]): "".join(LOOK_ALIKES.get(c, c) for c in r[1]) if r[2] is None else r[2] for r in code_points()}
+def _python_tables() -> tuple[dict[int, str], dict[int, str]]:
+    """For str.translate: all of the table, and all but its look-alikes."""
+    whole = {ord(r[0]): "".join(LOOK_ALIKES.get(c, c) for c in r[1]) if r[2] is None else r[2] for r in code_points()}
+    return whole, {k: v for k, v in whole.items() if chr(k) not in LOOK_ALIKES}
+
+
+_JOINERS = re.compile("[‌‍]+")
+_TOKEN = re.compile(r"[^\W_][^\s!-/:-@\[-`{-~]*|[^\x00-\x7f]+")
+
+
+def _consistent_word(m: re.Match) -> str:
+    w = m[0]
+    if w.isascii():
+        return w
+    foreign = any("\u0370" <= c < "\u0530" and c not in LOOK_ALIKES and c.isalpha() for c in w)
+    if "\u200c" in w or "\u200d" in w:
+        w = _JOINERS.sub(lambda j: j[0] if j.start() and unicodedata.combining(m[0][j.start() - 1]) == 9 else "", w)
+    return w.translate(_python_tables()[foreign])
 
 
 def consistent(text: str) -> str:
     """The same form in plain Python, for texts already in an Arrow function (and to test the operator against)."""
-    if text.isascii():
-        return text
-    table_ = _python_table()
-    plain = {k: v for k, v in table_.items() if chr(k) not in LOOK_ALIKES}
-
-    def word(m: re.Match) -> str:
-        w = m[0]
-        foreign = any(0x370 <= ord(c) < 0x530 and c not in LOOK_ALIKES and unicodedata.category(c)[0] == "L" for c in w)
-        w = re.sub("([‌‍]+)", lambda j: j[0] if j.start() and unicodedata.combining(w[j.start() - 1]) == 9 else "", w) if "‌" in w or "‍" in w else w
-        return w.translate(plain if foreign else table_)
-
-    return unicodedata.normalize("NFC", re.sub(r"[^\W_][^\s!-/:-@\[-`{-~]*|[^\x00-\x7f]+", word, text))
+    return text if text.isascii() else unicodedata.normalize("NFC", _TOKEN.sub(_consistent_word, text))
