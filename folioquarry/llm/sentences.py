@@ -37,7 +37,7 @@ _OPENERS, _CLOSERS = "“„«「『（([{《〈【‘", "”»」』）)]}》
 _PAIR = dict(zip("”“»」』）)]}》〉】", ["“„", "„", "«", "「", "『", "（", "(", "[", "{", "《", "〈", "【"]))
 # The mark “ closes a quotation only where the line has one opened by „.
 _END, _END_LOW = (re.compile(rf"(?P<t>[.!?…。！？।॥؟．｡]+(?: \.\.?\.?(?=\s|$))*)(?P<c>[{low}\"”’»」』）)\]}}》〉】*_]*)(?P<n>(?:\[\^?[^\]\s]{{1,10}}\])*)") for low in ("", "“"))
-_LINE = re.compile(r"[^\n\r\v\f\x85  ]+")
+_LINE = re.compile(r"[^\n\r\v\f\x85\u2028\u2029]+")
 _WORD = re.compile(r"[^\s!?“”„«»\"(（\[「『—–-]+$")
 _ROMAN = re.compile(r"[ivxlcdm]{1,6}|[a-z]|\d{1,3}(?:\.\d{1,3})*")
 _OPEN_MARKS = re.compile(r"[\s\"“”„«»「『（(\[‘’'—–¿¡*_\-]*")
