@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that define QUERIES (name to function) and ORACLE (name to SQL).
-MODULES = ("q_charforms", "q_leaks", "q_sizes", "q_defects", "q_sentences", "q_scans")
+MODULES = ("q_charforms", "q_leaks", "q_sizes", "q_defects", "q_sentences", "q_scans", "q_alignment")
 
 
 def _all(what: str) -> dict:

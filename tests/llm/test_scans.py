@@ -35,9 +35,9 @@ def test_readings():
 
 ROWS = [("h", "d", "segment", 1, "heading", 10, CHAPTER, CHAPTER, TITLE, "en"), ("r", "d", "segment", 2, "paragraph", 10, CHAPTER, CHAPTER, TITLE, "en")]
 ROWS += [(f"p{n}", "d", "segment", 3 + n, "paragraph", 11 + n, CHAPTER, f"The tenure of the well-known house was counted in 1907.\n{13 + n}", TITLE, "en") for n in range(20)]
-ROWS += [("cut", "d", "segment", 20, "paragraph", 20, CHAPTER, "A well-\nknown tcnure and l898 and the ten-", TITLE, "en"), ("rest", "d", "segment", 21, "paragraph", 20, CHAPTER, "ure of the house.", TITLE, "en"),
-         ("own", "d", "segment", 22, "paragraph", 20, CHAPTER, "A well-\nknown house.", TITLE, "en"), ("cell", "d", "segment", 23, "table_cell", 20, CHAPTER, "695", TITLE, "en"),
-         ("null", "d", "segment", 24, "paragraph", None, None, None, None, None), ("empty", None, "segment", 25, "paragraph", 3, None, "", None, None), (None, "d", "segment", 26, "paragraph", 20, None, "a tcnure", TITLE, "en")]
+ROWS += [("cut", "d", "segment", 60, "paragraph", 20, CHAPTER, "A well-\nknown tcnure and l898 and the ten-", TITLE, "en"), ("rest", "d", "segment", 61, "paragraph", 20, CHAPTER, "ure of the house.", TITLE, "en"),
+         ("own", "d", "segment", 62, "paragraph", 20, CHAPTER, "A well-\nknown house.", TITLE, "en"), ("cell", "d", "segment", 63, "table_cell", 20, CHAPTER, "695", TITLE, "en"),
+         ("null", "d", "segment", 64, "paragraph", None, None, None, None, None), ("empty", None, "segment", 65, "paragraph", 3, None, "", None, None), (None, "d", "segment", 66, "paragraph", 20, None, "a tcnure", TITLE, "en")]
 SCHEMA = "record_id string, document_id string, source string, ordinal int, kind string, page_no int, chapter string, text string, title string, lang string"
 
 
