@@ -1,0 +1,128 @@
+"""EPUB archives as tables, and tables as EPUB archives."""
+
+from __future__ import annotations
+
+import hashlib
+import io
+import posixpath
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+from xml.sax.saxutils import escape
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from folioquarry.functions.arrow import map_batches
+
+# Limits that a trustworthy archive keeps.
+MOST_ENTRIES, MOST_BYTES, MOST_ENTRY, MOST_RATIO = 10_000, 512 << 20, 64 << 20, 1000
+BLOCKS = {"p": "paragraph", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "blockquote": "blockquote", "li": "list_item", "td": "table_cell", "th": "table_cell", "figcaption": "caption", "caption": "caption", "pre": "verse", "dt": "list_item", "dd": "list_item"}
+SCHEMA = "path string, spine_index int, spine_path string, ordinal int, dom_path string, kind string, source_text string, digest string, reject string"
+
+
+def problem(archive: zipfile.ZipFile) -> str | None:
+    """Why an archive can't be trusted; None if it can."""
+    names, total = set(), 0
+    for i in archive.infolist():
+        parts = i.filename.replace("\\", "/").split("/")
+        total += i.file_size
+        if i.filename.startswith("/") or ".." in parts or ":" in parts[0]:
+            return "a member leads out of the archive"
+        if i.filename in names:
+            return "a member stands twice"
+        if i.file_size > MOST_ENTRY or total > MOST_BYTES or i.file_size > MOST_RATIO * max(1, i.compress_size):
+            return "too large"
+        names.add(i.filename)
+    return "too many members" if len(names) > MOST_ENTRIES else None
+
+
+def parse_xml(data: bytes) -> ElementTree.Element:
+    """The root of an XML resource without internal declarations of entities."""
+    head = data[:4096].lower()
+    if b"<!entity" in head or b"<!element" in head:
+        raise ValueError("declarations of entities are not read")
+    return ElementTree.fromstring(data)
+
+
+def _local(tag: object) -> str:
+    return tag.rpartition("}")[2].lower() if isinstance(tag, str) else ""
+
+
+def _blocks(node: ElementTree.Element, path: str) -> Iterator[tuple[str, str, str]]:
+    """(dom path, kind, text) of the innermost blocks in reading order."""
+    for k, child in enumerate(node):
+        name = _local(child.tag)
+        here = f"{path}/{name}[{k}]"
+        if name in BLOCKS and not any(_local(x.tag) in BLOCKS for x in child.iter() if x is not child):
+            if text := " ".join("".join(child.itertext()).split()):
+                yield here, BLOCKS[name], text
+        elif name not in ("script", "style", "head"):
+            yield from _blocks(child, here)
+
+
+def parse_epub(data: bytes) -> Iterator[tuple]:
+    """Rows of the spine's blocks, in order, as the columns of ``SCHEMA`` after the path."""
+    digest = hashlib.sha256(data).hexdigest()
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            if why := problem(z):
+                raise ValueError(why)
+            package = next(e.get("full-path") for e in parse_xml(z.read("META-INF/container.xml")).iter() if _local(e.tag) == "rootfile")
+            root = parse_xml(z.read(package))
+            items = {e.get("id"): e.get("href") for e in root.iter() if _local(e.tag) == "item"}
+            order = [e.get("idref") for e in root.iter() if _local(e.tag) == "itemref"]
+            rows, ordinal = [], 0
+            for k, ref in enumerate(order):
+                name = posixpath.normpath(posixpath.join(posixpath.dirname(package), items[ref]))
+                for dom, kind, text in _blocks(parse_xml(z.read(name)), ""):
+                    rows.append((k, name, ordinal, dom, kind, text, digest, None))
+                    ordinal += 1
+    except (ValueError, KeyError, StopIteration, zipfile.BadZipFile, ElementTree.ParseError) as e:
+        rows = [(None, None, None, None, None, None, digest, str(e) or type(e).__name__)]
+    yield from rows
+
+
+def read_epubs(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of all EPUB files under ``path``; a file that can't be read gives one row with the reason in ``reject``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path).select("path", "content")
+
+    def make():
+        def work(paths, contents):
+            for p, c in zip(paths, contents):
+                for row in parse_epub(bytes(c)):
+                    yield p, *row
+
+        return work
+
+    return map_batches(files, make, SCHEMA, chunk=1)
+
+
+def make_epub(title: str, lang: str, blocks: list[tuple[str, str]]) -> bytes:
+    """An EPUB archive of one spine resource from (kind, text) blocks; equal blocks give equal bytes."""
+    tags = {"heading": "h2", "blockquote": "blockquote", "list_item": "li", "verse": "pre"}
+    body = "".join(f"<{tags.get(k, 'p')}>{escape(t)}</{tags.get(k, 'p')}>" for k, t in blocks)
+    page = f'<?xml version="1.0" encoding="utf-8"?><html xmlns="http://www.w3.org/1999/xhtml" lang="{escape(lang)}"><head><title>{escape(title)}</title></head><body>{body}</body></html>'
+    package = (f'<?xml version="1.0" encoding="utf-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">{hashlib.sha256(page.encode()).hexdigest()}</dc:identifier>'
+               f'<dc:title>{escape(title)}</dc:title><dc:language>{escape(lang)}</dc:language></metadata><manifest><item id="t" href="text.xhtml" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="t"/></spine></package>')
+    container = '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/package.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data, how in (("mimetype", "application/epub+zip", zipfile.ZIP_STORED), ("META-INF/container.xml", container, zipfile.ZIP_DEFLATED), ("OEBPS/package.opf", package, zipfile.ZIP_DEFLATED), ("OEBPS/text.xhtml", page, zipfile.ZIP_DEFLATED)):
+            info = zipfile.ZipInfo(name, (2000, 1, 1, 0, 0, 0))
+            info.compress_type = how
+            z.writestr(info, data)
+    return out.getvalue()
+
+
+def epub_archives(books: DataFrame, segments: DataFrame) -> DataFrame:
+    """(document_id, archive): one EPUB of each book's segments in order; ``books`` has document_id, title, lang, ``segments`` document_id, ordinal, kind, text."""
+    rows = segments.where("text <> ''").groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "kind", "text"))).alias("blocks")).join(books, "document_id").select("document_id", "title", "lang", "blocks")
+
+    def make():
+        def work(ids, titles, langs, blocks):
+            for i, t, lang, b in zip(ids, titles, langs, blocks):
+                yield i, make_epub(t or "", lang or "und", [(x["kind"], x["text"]) for x in b])
+
+        return work
+
+    return map_batches(rows, make, "document_id string, archive binary", chunk=1)
