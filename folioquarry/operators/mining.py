@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioquarry.functions.lexicon import ROMAN, STOP_WORDS
-from folioquarry.functions.text import WORD
+from folioquarry.functions.text import WORD, once
+from folioquarry.session import spread
 
 LONGEST, BINS = 5, 8
 CHUNK = r"[^\p{L}\p{Nl}\p{No}’' \t\r\n-]+"
@@ -13,14 +14,14 @@ CHUNK = r"[^\p{L}\p{Nl}\p{No}’' \t\r\n-]+"
 
 def is_content(token: Column, lang: Column) -> Column:
     """A token of two or more characters that is neither function word nor figure nor Roman numeral."""
-    stop = F.coalesce(*[F.when(lang == k, token.isin(*words)) for k, words in STOP_WORDS.items()], F.lit(False))
+    stop = F.coalesce(*[F.when(lang == k, F.array_contains(F.split(F.lit(" ".join(words)), " "), token)) for k, words in STOP_WORDS.items()], F.lit(False))
     return (F.length(token) >= 2) & ~stop & ~token.rlike(r"^[0-9]+$") & ~token.rlike(ROMAN)
 
 
 def chunks(segments: DataFrame) -> DataFrame:
     """(id, lang, chunk, tokens): runs of words that only white space divides, in lower case. ``segments``: id, lang, text and more."""
-    cut = segments.where(F.col("text") != "").select("id", "document_id", "lang", "bin", F.posexplode(F.split(F.lower("text"), CHUNK)).alias("chunk", "piece"))
-    return cut.select("id", "document_id", "lang", "bin", "chunk", F.regexp_extract_all("piece", F.lit(WORD), F.lit(0)).alias("tokens")).where(F.size("tokens") > 0)
+    cut = spread(segments.where(F.col("text") != "")).select("id", "document_id", "lang", "bin", F.posexplode(F.split(F.lower("text"), CHUNK)).alias("chunk", "piece"))
+    return cut.select("id", "document_id", "lang", "bin", "chunk", once(F.regexp_extract_all("piece", F.lit(WORD), F.lit(0))).alias("tokens")).where(F.size("tokens") > 0)
 
 
 def with_bins(segments: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def ngrams(chunked: DataFrame) -> DataFrame:
     """One row for each n-gram (1 to LONGEST) that begins and ends with content and has few function words inside, with its neighbours."""
     tokens = F.col("tokens")
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.size(tokens))), lambda n: F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.struct(i.alias("i"), n.alias("n")))))
-    flags = chunked.withColumn("content", F.transform(tokens, lambda t: is_content(t, F.col("lang"))))
+    flags = chunked.select("*", once(F.transform(tokens, lambda t: is_content(t, F.col("lang")))).alias("content"))
     fit = lambda s: (F.element_at("content", s["i"]) & F.element_at("content", s["i"] + s["n"] - 1)
                      & (F.size(F.filter(F.slice("content", s["i"], s["n"]), lambda c: ~c)) <= F.greatest(F.lit(1), F.floor((s["n"] - 1) / 2))))
     rows = flags.select("id", "document_id", "lang", "bin", "tokens", F.explode(F.filter(spans, fit)).alias("s"))
@@ -44,8 +45,11 @@ def ngrams(chunked: DataFrame) -> DataFrame:
 
 def statistics(grams: DataFrame, least: int = 2) -> DataFrame:
     """(lang, key, n, frequency, segments, books, bins, contexts) of n-grams that occur ``least`` times."""
-    return grams.groupBy("lang", "key", "n").agg(F.count(F.lit(1)).alias("frequency"), F.count_distinct("id").alias("segments"), F.count_distinct("document_id").alias("books"),
-                                                 F.count_distinct("bin").alias("bins"), F.count_distinct("context").alias("contexts")).where(F.col("frequency") >= least)
+    per_segment = grams.groupBy("lang", "key", "n", "document_id", "bin", "id").agg(F.count(F.lit(1)).alias("c"))
+    per_book = per_segment.groupBy("lang", "key", "n", "document_id").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("segments"), F.bit_or(F.expr("1 << bin")).alias("bins"))
+    whole = per_book.groupBy("lang", "key", "n").agg(F.sum("c").alias("frequency"), F.sum("segments").alias("segments"), F.count(F.lit(1)).alias("books"), F.bit_count(F.bit_or("bins")).cast("bigint").alias("bins"))
+    around = grams.groupBy("lang", "key", "n", "context").agg(F.count(F.lit(1)).alias("c")).groupBy("lang", "key", "n").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("contexts"))
+    return whole.where(F.col("frequency") >= least).join(around.where(F.col("c") >= least).drop("c"), ["lang", "key", "n"])
 
 
 def c_values(stats: DataFrame) -> DataFrame:

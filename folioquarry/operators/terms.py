@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from folioquarry.functions.text import once
 from folioquarry.session import small
 
 WORDS, CHARS = 4, 6  # longest forms that are looked for, in words and in Han characters
@@ -20,9 +21,8 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
 
 
-def _grams(text: Column) -> Column:
-    """Every run of up to WORDS words and, where the text has Han characters, of up to CHARS of them."""
-    words = _words(text)
+def _grams(words: Column, text: Column) -> Column:
+    """Every run of up to WORDS of ``words`` and, where the text has Han characters, of up to CHARS of them."""
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(WORDS)), lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))))
     han = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(CHARS)), lambda n: F.when(text.rlike(HAN) & (F.length(text) >= n), F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))))
     return F.array_distinct(F.concat(runs, han))
@@ -37,7 +37,7 @@ def occurrences(segments: DataFrame, terms: DataFrame) -> DataFrame:
     """
     key = F.when(F.col("form").rlike(HAN), F.col("form")).otherwise(F.array_join(_words(F.col("form")), " "))
     forms = small(source_forms(terms.where("status = 'approved'")).withColumn("key", key))
-    grams = segments.where(F.col("source_text") != "").select("id", "project_id", "source_text", F.explode(_grams(F.col("source_text"))).alias("key"))
+    grams = segments.where(F.col("source_text") != "").select("id", "project_id", "source_text", once(_words(F.col("source_text"))).alias("words")).select("id", "project_id", "source_text", F.explode(_grams(F.col("words"), F.col("source_text"))).alias("key"))
     hits = grams.join(forms, ["project_id", "key"])
     quoted = F.concat(F.lit(r"\Q"), F.col("form"), F.lit(r"\E"))
     low = F.lower("source_text")
