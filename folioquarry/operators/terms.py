@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioquarry.functions.text import once
-from folioquarry.session import small
+from folioquarry.session import small, spread
 
 WORDS, CHARS = 4, 6  # longest forms that are looked for, in words and in Han characters
 HAN = r"[㐀-鿿]"
@@ -37,7 +37,7 @@ def occurrences(segments: DataFrame, terms: DataFrame) -> DataFrame:
     """
     key = F.when(F.col("form").rlike(HAN), F.col("form")).otherwise(F.array_join(_words(F.col("form")), " "))
     forms = small(source_forms(terms.where("status = 'approved'")).withColumn("key", key))
-    grams = segments.where(F.col("source_text") != "").select("id", "project_id", "source_text", once(_words(F.col("source_text"))).alias("words")).select("id", "project_id", "source_text", F.explode(_grams(F.col("words"), F.col("source_text"))).alias("key"))
+    grams = spread(segments.where(F.col("source_text") != "")).select("id", "project_id", "source_text", once(_words(F.col("source_text"))).alias("words")).select("id", "project_id", "source_text", F.explode(_grams(F.col("words"), F.col("source_text"))).alias("key"))
     hits = grams.join(forms, ["project_id", "key"])
     quoted = F.concat(F.lit(r"\Q"), F.col("form"), F.lit(r"\E"))
     low = F.lower("source_text")

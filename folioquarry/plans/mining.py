@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from folioquarry.functions.lexicon import ROMAN, STOP_WORDS
 from folioquarry.functions.text import WORD
 from folioquarry.operators import mining as M
-from folioquarry.session import small
+from folioquarry.session import cut_lineage, small
 from folioquarry.sources.tables import table
 
 CANDIDATES = 70  # reported for each language
@@ -62,7 +62,8 @@ def a16_language(spark: SparkSession, folder: str) -> DataFrame:
 def term_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """The best candidates of each language: n-grams by score, without those that only occur inside a longer one."""
     chunked = _chunks(spark, folder)
-    stats = M.associations(M.c_values(M.statistics(M.ngrams(chunked))), M.word_uses(chunked))
+    counted = cut_lineage(M.statistics(M.ngrams(chunked)))  # read four times below
+    stats = M.associations(M.c_values(counted), M.word_uses(chunked))
     gated = M.without_nested(M.scored(stats)).where("(n = 1 AND frequency >= 3 AND length(key) >= 4) OR (n BETWEEN 2 AND 3 AND association >= 0.04 AND segments >= 2)")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("frequency"), "key"))
     return gated.withColumn("place", place).where(F.col("place") <= CANDIDATES).select("lang", "place", "key", "n", "frequency", "segments", F.round("score", 4).alias("score"))
