@@ -160,7 +160,8 @@ def consistent_forms(texts: DataFrame, column: str) -> DataFrame:
     """
     text = F.col(column)
     cut = (texts.where(text.isNotNull() & ~is_stable(text)).select(text.alias("t")).distinct()
-           .select(F.md5("t").alias("_fq_key"), F.posexplode(pieces(F.col("t"))).alias("pos", "piece")))
+           .select(F.md5("t").alias("_fq_key"), "t")  # before the pieces, else the text would be hashed once for each of them
+           .select("_fq_key", F.posexplode(pieces(F.col("t"))).alias("pos", "piece")))
     odd = cut.where(~is_stable(F.col("piece"))).select("piece").distinct()
     joined = cut.join(_consistent_pieces(odd), "piece", "left").select("_fq_key", F.struct("pos", F.coalesce("form", "piece").alias("form")).alias("p"))
     return joined.groupBy("_fq_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["form"]), "").alias("_fq_form"))
