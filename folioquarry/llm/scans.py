@@ -190,6 +190,41 @@ def readings(word: str) -> set[str]:
     return out - {word}
 
 
+def cased(written: str, right: str) -> str:
+    """``right``, the reading of ``written`` in lower case, with the capitals of ``written``; a year is read from the figures as written."""
+    if right.isdigit():
+        return written.translate(_DIGITS)
+    low = written.lower()
+    if len(low) != len(written):
+        return right[:1].upper() + right[1:] if written[:1].isupper() else right
+    a = next((k for k, (x, y) in enumerate(zip(low, right)) if x != y), min(len(low), len(right)))
+    z = next((k for k, (x, y) in enumerate(zip(low[a:][::-1], right[a:][::-1])) if x != y), min(len(low), len(right)) - a)
+    head, wrong, tail, new = written[:a], written[a : len(low) - z], written[len(low) - z :], right[a : len(right) - z]
+    if head + tail != (head + tail).lower() and head + tail == (head + tail).upper() and wrong == wrong.upper():
+        new = new.upper()
+    elif not head and wrong[:1].isupper() and (wrong, new) != ("I", "l"):  # a capital I is the image of a small l, not of L
+        new = new[:1].upper() + new[1:]
+    return head + new + tail
+
+
+def repaired(text: str, fixes: list[dict]) -> str:
+    """``text`` with the words of ``fixes`` (word, right; lower case, the first of a word counts) replaced in any case, whole or between apostrophes."""
+    right: dict[str, str] = {}
+    for f in fixes:
+        right.setdefault(f["word"], f["right"])
+
+    def replace(m: re.Match) -> str:
+        parts, out, k = re.split("(['’])", m[0]), [], 0
+        while k < len(parts):
+            end = next((e for e in range(len(parts), k, -2) if "".join(parts[k:e]).lower() in right), None)
+            piece = "".join(parts[k:end]) if end else parts[k]
+            out += [cased(piece, right[piece.lower()]) if end else piece, *parts[(end or k + 1) : (end or k + 1) + 1]]
+            k = (end or k + 1) + 1
+        return "".join(out)
+
+    return _TOKEN.sub(replace, text)
+
+
 RECORDS = "record_id string, document_id string, ordinal int, kind string, page_no int, chapter string, text string, title string, lang string"
 _READ = """record_id string, document_id string, source string, ordinal int, lang string, page_no int, own boolean, chapter string, header boolean, pages array<int>,
 cuts array<struct<a:string,mark:string,b:string>>, first string, words array<string>, joined array<string>, compounds array<string>, running string"""
@@ -299,9 +334,16 @@ def paragraphs(records: DataFrame) -> DataFrame:
     kept = small(_compounds(read_).groupBy("lang", F.replace("compound", F.lit("-"), F.lit("")).alias("word")).agg(F.max_by("compound", F.struct("n", "compound")).alias("right")))
     own_hyphen = read_.select("record_id", "source", "lang", F.explode("joined").alias("word")).join(kept, ["lang", "word"])
     fixes = used.join(small(right), ["lang", "word"]).unionByName(own_hyphen).groupBy("record_id", "source").agg(F.sort_array(F.collect_set(F.struct("word", "right"))).alias("fixes"))
-    fixed = read_.where("running <> ''").join(fixes, ["record_id", "source"], "left")
-    replaced = F.aggregate(F.coalesce("fixes", F.expr("CAST(array() AS array<struct<word:string,right:string>>)")), F.col("running"), lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), x["word"], F.lit(r"(?![\p{L}\p{N}])")), x["right"]))
-    lines = fixed.withColumn("running", replaced).withColumn("before", F.expr("lag(running) OVER (PARTITION BY source, document_id ORDER BY ordinal, record_id)"))
+    fixed = read_.where("running <> ''").join(fixes, ["record_id", "source"], "left").select("source", "document_id", "ordinal", "record_id", "running", "fixes")
+
+    def make():
+        def work(*columns):
+            for *place, running, wrong in zip(*columns):
+                yield (*place, repaired(running, wrong) if wrong else running)
+
+        return work
+
+    lines = map_batches(fixed, make, "source string, document_id string, ordinal int, record_id string, running string").withColumn("before", F.expr("lag(running) OVER (PARTITION BY source, document_id ORDER BY ordinal, record_id)"))
     goes_on = F.col("before").rlike(r"[\p{L}][-‐\u00AD¬]$") | (~F.col("before").rlike(r"[.!?…:»”)\]。！？]$") & F.col("running").rlike(r"^\p{Ll}"))
     numbered = lines.withColumn("starts", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("paragraph_no", F.expr("sum(starts) OVER (PARTITION BY source, document_id ORDER BY ordinal, record_id ROWS UNBOUNDED PRECEDING)"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "record_id", "running"))), lambda r: r["running"]), "\u0001")

@@ -54,6 +54,23 @@ def test_paragraphs(spark):
     assert "The tenure of the well-known house was counted in 1907." in out and CHAPTER not in "".join(out - {CHAPTER})
 
 
+@pytest.mark.parametrize(("written", "right", "out"), [("Idcntität", "identität", "Identität"), ("Bctween", "between", "Between"), ("BCTWEEN", "between", "BETWEEN"), ("I837", "1837", "1837"), ("191O", "1910", "1910"), ("1B37", "1637", "1837"),
+                                                       ("tcnure", "tenure", "tenure"), ("faIse", "false", "false"), ("Iand", "land", "land"), ("Oount", "count", "Count"), ("Clorf", "dorf", "Dorf"), ("WeIIknown", "wellknown", "Wellknown"), ("Wellknown", "well-known", "Well-known"), ("0FFICER", "officer", "OFFICER"), ("Rnan", "man", "Man")])
+def test_repairs_keep_capitals(written, right, out):
+    assert S.cased(written, right) == out
+    assert S.repaired(f"({written}) x{written}", [{"word": written.lower(), "right": right}]) == f"({out}) x{written}"
+
+
+def test_repairs_between_apostrophes():
+    assert S.repaired("L'Idcntité, rock'n'rcll: d’idcntité", [{"word": "idcntité", "right": "identité"}, {"word": "n'rcll", "right": "n'roll"}]) == "L'Identité, rock'n'roll: d’identité"
+
+
+def test_paragraphs_with_capitals(spark):
+    rows = [(f"p{n}", "d", "segment", n, "paragraph", None, None, "The Identität between well-known men was counted.", None, "en") for n in range(20)]
+    rows.append(("c", "d", "segment", 60, "paragraph", None, None, "Bctween them, Idcntität. In I837 and 191O a Well-\nknown house.", None, "en"))
+    assert "Between them, Identität. In 1837 and 1910 a Well-known house." in {r.text for r in S.paragraphs(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
 def test_long_text(spark):
     rows = [("x", "d", "block", 1, "paragraph", 1, None, "words and words that go on\n" * 20000, None, "en")]
     assert S.found_noise(spark.createDataFrame(rows, SCHEMA)).count() == 0
