@@ -1,5 +1,7 @@
 """Literal cases of the operators that SQL can't state, or whose edges the tables lack."""
 
+import re
+import unicodedata
 import zipfile
 
 import pytest
@@ -65,6 +67,28 @@ def test_similar_texts_agree_with_brute_force(spark):
     assert {(r.id, r.entry_id) for r in memory.similar_texts(spark.createDataFrame(q, schema), spark.createDataFrame(e, schema), 0.5).collect()} == want
 
 
+def test_near_texts_agree_with_brute_force(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    bases = ["彼女は古い手紙を机の上に置いた", "他把旧信放在桌子上，然后走了", "ｶﾞﾗｽの窓から光が入る", "The letter lay on the old table", "道", "ab"]
+    def make():
+        t = list(rng.choice(bases))
+        for _ in range(rng.randrange(5)):
+            k = rng.randrange(len(t))
+            t[k : k + 1] = rng.choice(["", "の", "信", t[k] * 2, "x "])
+            t = t or ["a"]
+        return "".join(t)
+    q, e = [(str(n), n % 2, make()) for n in range(80)] + [("n", 0, None), ("m", 0, ""), ("p", 0, "。")], [(f"e{n}", n % 2, make()) for n in range(80)]
+    q, e = q + [("w", 1, "ガラスの窓から光が入る")], e + [("wide", 1, "ｶﾞﾗｽの窓から光が入る"), ("wide2", 1, "ガラスの窓から、光が入る")]
+    form = lambda t: " ".join(re.findall(r"\w+", unicodedata.normalize("NFKC", t).casefold()))
+    want = {(i, j): r for i, s, t in q for j, s2, t2 in e if s == s2 and t and form(t) and form(t2) and (r := SequenceMatcher(None, form(t), form(t2), False).ratio()) >= 0.78}
+    schema = "id string, scope int, text string"
+    got = {(r.id, r.entry_id): r.ratio for r in memory.near_texts(spark.createDataFrame(q, schema), spark.createDataFrame(e, schema), 0.78).collect()}
+    assert got == want and got["w", "wide"] == 1 and ("w", "wide2") in got
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["plain ", "`code` ", "<b>", "https://a.b/c ", "[^3]", "{{x}} ", "⟦7⟧", "a@b.co "]), max_size=12))
 def test_masking_round_trip(parts):
