@@ -18,6 +18,11 @@ def visible_sql(*layers: str) -> Column:
     return F.coalesce(*[F.col(c) for c in layers or LAYERS], F.lit(""))
 
 
+def blank(text: Column) -> Column:
+    """Whether nothing but white space is in ``text``, of whatever kind; null stays null."""
+    return ~text.rlike(r"[^\s\p{Z}\x0B\x1C-\x1F\x85]")
+
+
 def ascii_upper(text: Column) -> Column:
     return F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 

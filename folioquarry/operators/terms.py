@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from folioquarry.functions import normal
+from folioquarry.functions.arrow import map_batches
 from folioquarry.functions.text import once
-from folioquarry.session import small, spread
+from folioquarry.session import cut_lineage, small, spread
 
-WORDS, CHARS = 4, 6  # longest forms that are looked for, in words and in Han characters
 HAN = r"[㐀-鿿]"
 
 
@@ -17,47 +21,75 @@ def source_forms(terms: DataFrame) -> DataFrame:
     return terms.select(F.col("id").alias("term_id"), "project_id", F.explode(forms).alias("form"), "enforcement", "status", "target").where("form <> ''").distinct()
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
+def _keys(text: Column) -> Column:
+    """What a form in ``text`` must begin with: each of its words, and each character and pair of characters that begins with a Han character."""
+    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
+    pairs = F.when(text.rlike(HAN), F.regexp_extract_all(text, F.lit(rf"(?s)(?=({HAN}.?))"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(words, pairs, F.transform(pairs, lambda p: F.left(p, F.lit(1)))))
+
+
+def _first_key(form: Column) -> Column:
+    """The key under which a form is looked for; forms that begin with a mark are found by their first word or Han characters."""
+    word = F.regexp_extract(form, r"[\p{L}\p{M}\p{N}_]+", 0)
+    return F.when(form.rlike(HAN), F.regexp_extract(form, rf"(?s){HAN}.?", 0)).otherwise(word)
 
 
-def _grams(words: Column, text: Column) -> Column:
-    """Every run of up to WORDS of ``words`` and, where the text has Han characters, of up to CHARS of them."""
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(WORDS)), lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))))
-    han = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(CHARS)), lambda n: F.when(text.rlike(HAN) & (F.length(text) >= n), F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))))
-    return F.array_distinct(F.concat(runs, han))
+def _lower_spans(text: str, form: str) -> Iterator[tuple[int, int]]:
+    """Places of ``form`` in the lower-case text; a form of letters must not touch another letter or figure."""
+    low, han, at = text.lower(), re.search(HAN, form) is not None, 0
+    while (at := low.find(form, at)) >= 0:
+        end = at + len(form)
+        if han or not (at and normal.is_word(text[at - 1 : at]) or normal.is_word(text[end : end + 1])):
+            yield at, end
+        at = end
 
 
-def occurrences(segments: DataFrame, terms: DataFrame) -> DataFrame:
+def occurrences(segments: DataFrame, terms: DataFrame, compatible: bool = False) -> DataFrame:
     """(segment_id, term_id, form, start, end, enforcement): places of term forms of the same project in the source.
 
-    ``segments`` has id, project_id, source_text. Texts are cut into word and character runs that join the forms by
-    equality; the places of a form then come from splitting the text at it. A form of letters must not touch another
-    letter or figure. Forms of more than WORDS words or CHARS Han characters are not looked for.
+    ``segments`` has id, project_id, source_text. Forms are looked for in lower case, or with ``compatible`` in compatible form
+    without case (full-width, decomposed and ligature spellings match), with offsets into the text as it is. A form joins
+    the texts that hold its first word or Han characters, whatever its length; texts don't take part in that join but are brought once.
+    Null and empty texts have no places; a form without any word or Han character is not found; repeated rows give one row.
     """
-    key = F.when(F.col("form").rlike(HAN), F.col("form")).otherwise(F.array_join(_words(F.col("form")), " "))
-    forms = small(source_forms(terms.where("status = 'approved'")).withColumn("key", key))
-    grams = spread(segments.where(F.col("source_text") != "")).select("id", "project_id", "source_text", once(_words(F.col("source_text"))).alias("words")).select("id", "project_id", "source_text", F.explode(_grams(F.col("words"), F.col("source_text"))).alias("key"))
-    hits = grams.join(forms, ["project_id", "key"])
-    quoted = F.concat(F.lit(r"\Q"), F.col("form"), F.lit(r"\E"))
-    low = F.lower("source_text")
-    gaps = F.split(low, quoted, -1)
-    placed = hits.withColumn("gaps", gaps).select("id", "term_id", "form", "enforcement", "source_text", F.posexplode(F.slice("gaps", F.lit(1), F.greatest(F.size("gaps") - 1, F.lit(0)))).alias("k", "gap"), "gaps")
-    start = F.aggregate(F.slice("gaps", F.lit(1), F.col("k") + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.col("k") * F.length("form")
-    spans = placed.withColumn("start", start).withColumn("end", F.col("start") + F.length("form"))
-    edge = r"^[\p{L}\p{N}_]$"
-    around = F.when(F.col("form").rlike(HAN), True).otherwise(
-        ~F.coalesce(F.when(F.col("start") > 0, F.substring("source_text", F.col("start"), F.lit(1))), F.lit("")).rlike(edge) & ~F.substring("source_text", F.col("end") + 1, F.lit(1)).rlike(edge))
-    return spans.where(around).select(F.col("id").alias("segment_id"), "term_id", "form", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "enforcement").distinct()
+    text = normal.term_form(F.col("source_text")) if compatible else F.lower("source_text")
+    forms = source_forms(terms.where("status = 'approved'"))
+    if compatible:
+        forms = forms.withColumn("form", normal.term_form(F.col("form"))).where("form <> ''").distinct()
+    forms = small(forms.withColumn("key", _first_key(F.col("form"))).where("key <> ''"))
+    rows = segments.where(F.col("source_text") != "").select("id", "project_id", "source_text")
+    keyed = spread(rows).select("id", "project_id", once(_keys(text)).alias("keys")).select("id", "project_id", F.explode("keys").alias("key"))
+    wanted = keyed.join(forms, ["project_id", "key"]).groupBy("id", "project_id").agg(F.sort_array(F.collect_set(F.struct("form", "term_id", "enforcement"))).alias("wanted"))
+    spans_of: Callable = normal.term_spans if compatible else _lower_spans
+
+    def make():
+        def work(ids, texts, wants):
+            for i, t, want in zip(ids, texts, wants):
+                found: dict[str, list[tuple[int, int]]] = {}
+                for w in want:
+                    spans = found.get(w["form"])
+                    if spans is None:
+                        spans = found[w["form"]] = list(spans_of(t, w["form"]))
+                    for a, b in spans:
+                        yield i, w["term_id"], w["form"], a, b, w["enforcement"]
+
+        return work
+
+    placed = map_batches(rows.join(wanted, ["id", "project_id"]).select("id", "source_text", "wanted"), make, "segment_id string, term_id string, form string, start bigint, end bigint, enforcement string")
+    return placed.distinct()
 
 
 def longest(spans: DataFrame) -> DataFrame:
-    """Spans that no strictly longer span of the same class (reference or not) of the segment contains."""
+    """Spans that no strictly longer span of the same class (reference or not) of the segment contains.
+
+    In order of start, then of falling end, a span lies inside an earlier one if one of those reaches its end: one window a segment.
+    """
     kind = F.when(F.col("enforcement") == "reference", 1).otherwise(0)
-    a = spans.withColumn("class", kind)
-    b = a.select(F.col("segment_id").alias("s"), F.col("class").alias("c"), F.col("start").alias("from"), F.col("end").alias("to"))
-    inside = (F.col("segment_id") == F.col("s")) & (F.col("class") == F.col("c")) & (F.col("from") <= F.col("start")) & (F.col("to") >= F.col("end")) & (F.col("to") - F.col("from") > F.col("end") - F.col("start"))
-    return a.join(b, inside, "left_anti").drop("class")
+    own = Window.partitionBy("segment_id", "class").orderBy("start", F.desc("end"))
+    places = spans.select("segment_id", kind.alias("class"), "start", "end").distinct()
+    reach = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    free = places.withColumn("reach", reach).where("reach IS NULL OR reach < end").drop("reach")
+    return spans.withColumn("class", kind).join(free, ["segment_id", "class", "start", "end"], "left_semi").drop("class").select(*spans.columns)
 
 
 def competing(spans: DataFrame) -> DataFrame:
@@ -69,4 +101,4 @@ def competing(spans: DataFrame) -> DataFrame:
 def classes(spans: DataFrame) -> DataFrame:
     """Longest spans as reference, conditional (depends on context, or other terms compete) or enforced."""
     kind = F.when(F.col("enforcement") == "reference", "reference").when((F.col("enforcement") == "contextual") | (F.col("claims") > 1), "conditional").otherwise("enforced")
-    return competing(longest(spans)).withColumn("class", kind)
+    return competing(longest(cut_lineage(spans))).withColumn("class", kind)

@@ -43,14 +43,14 @@ def q7_term_checks(spark: SparkSession, folder: str) -> DataFrame:
     """Translated segments in which an enforced term's target is missing or one of its forbidden targets is used."""
     enforced = T.classes(_spans(spark, folder)).where("class = 'enforced'").select("segment_id", "term_id").distinct()
     terms = table(spark, folder, "terms", F.col("id").alias("term_id"), F.col("target").alias("term_target"), "forbidden_targets")
-    shown = _segments(spark, folder).select(F.col("id").alias("segment_id"), F.lower(X.visible()).alias("shown")).where("trim(shown) <> ''")
+    shown = _segments(spark, folder).select(F.col("id").alias("segment_id"), F.lower(X.visible()).alias("shown")).where(~X.blank(F.col("shown")))
     found = enforced.join(small(terms), "term_id").join(shown, "segment_id").select(
         "segment_id", "term_id", (~F.contains("shown", F.lower("term_target"))).alias("missing"), F.exists("forbidden_targets", lambda f: (f != "") & F.contains(F.col("shown"), F.lower(f))).alias("forbidden"))
     return found.where("missing OR forbidden")
 
 
 def q3_empty_translations(spark: SparkSession, folder: str) -> DataFrame:
-    return _segments(spark, folder).where((F.col("status") != "source") & (F.trim("source_text") != "") & (F.trim(X.visible()) == "")).select("id", "document_id", "ordinal")
+    return _segments(spark, folder).where((F.col("status") != "source") & ~X.blank(F.col("source_text")) & X.blank(X.visible())).select("id", "document_id", "ordinal")
 
 
 def q4_untranslated(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,7 +61,7 @@ def q4_untranslated(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q6_footnote_mismatch(spark: SparkSession, folder: str) -> DataFrame:
-    s = _segments(spark, folder).select("id", X.footnote_marks(F.coalesce("source_text", F.lit(""))).alias("of_source"), X.visible().alias("t")).where("trim(t) <> ''")
+    s = _segments(spark, folder).select("id", X.footnote_marks(F.coalesce("source_text", F.lit(""))).alias("of_source"), X.visible().alias("t")).where(~X.blank(F.col("t")))
     return s.select("id", "of_source", X.footnote_marks(F.col("t")).alias("of_target")).where("of_source <> of_target")
 
 
@@ -69,7 +69,7 @@ def a19_placeholders(spark: SparkSession, folder: str) -> DataFrame:
     """Figures, addresses, marks and inline code that the translation has more or fewer of than the source, counted as multisets."""
     pattern = r"https?://[^\s]+|`[^`\n]+`|\[\^[^\]]+\]|[0-9]+(?:[.,][0-9]+)*"
     of = lambda c: F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    s = _segments(spark, folder).select("id", F.coalesce("source_text", F.lit("")).alias("s"), X.visible().alias("t")).where("trim(t) <> ''")
+    s = _segments(spark, folder).select("id", F.coalesce("source_text", F.lit("")).alias("s"), X.visible().alias("t")).where(~X.blank(F.col("t")))
     both = s.select("id", F.explode(of(F.col("s"))).alias("token"), F.lit(1).alias("n")).unionByName(s.select("id", F.explode(of(F.col("t"))).alias("token"), F.lit(-1).alias("n")))
     net = both.groupBy("id", "token").agg(F.sum("n").alias("n"))
     return net.groupBy("id").agg(F.sum(F.greatest("n", F.lit(0))).alias("missing"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("extra")).where("missing > 0 OR extra > 0")
@@ -104,6 +104,7 @@ QUERIES = {f.__name__: f for f in (j13_term_occurrences, j14_longest_matches, j1
                                    a7_issue_queue, n28_truncated, j18_memory_exact)}
 
 _V = "coalesce(nullif(accepted_translation,''), nullif(reviewed_translation,''), nullif(edited_translation,''), nullif(machine_translation,''), '')"
+_FULL = r"regexp_matches({}, '[^\s\p{{Z}}\x0B\x1C-\x1F\x{{85}}]')"  # more than white space
 _SPANS = r"""
     forms AS (SELECT DISTINCT term_id, project_id, form, enforcement FROM (SELECT id AS term_id, project_id, enforcement, unnest(list_concat([lower(trim(source))], list_transform(aliases, lambda a: lower(trim(a))))) AS form FROM terms WHERE status = 'approved') WHERE form <> ''),
     hit AS (SELECT s.id, source_text, lower(source_text) AS low, f.* FROM segments s JOIN book_documents b ON b.id = s.document_id JOIN forms f ON f.project_id = b.project_id AND contains(lower(s.source_text), f.form)),
@@ -117,11 +118,11 @@ _SPANS = r"""
 _SPANS = _SPANS.replace("    at AS (", "    spot AS (").replace("FROM at\n", "FROM spot\n")
 _NOTES = r"array_to_string(list_sort(regexp_extract_all({}, '\[\^[^\]]+\]')), '|')"
 _FIG = r"regexp_extract_all({}, 'https?://[^\s]+|`[^`\n]+`|\[\^[^\]]+\]|[0-9]+(?:[.,][0-9]+)*')"
-_Q3 = f"SELECT id, document_id, ordinal FROM segments WHERE status <> 'source' AND trim(source_text) <> '' AND trim({_V}) = ''"
+_Q3 = f"SELECT id, document_id, ordinal FROM segments WHERE status <> 'source' AND {_FULL.format("source_text")} AND NOT {_FULL.format(_V)}"
 _Q4 = rf"SELECT id FROM segments WHERE length(regexp_replace(source_text, '[^\p{{L}}]', '', 'g')) >= 10 AND len(regexp_extract_all(source_text, '[\p{{L}}]+')) >= 4 AND regexp_replace(lower(source_text), '[^\p{{L}}\p{{N}}]', '', 'g') = regexp_replace(lower({_V}), '[^\p{{L}}\p{{N}}]', '', 'g')"
-_Q6 = f"SELECT * FROM (SELECT id, {_NOTES.format("coalesce(source_text,'')")} AS of_source, {_NOTES.format(_V)} AS of_target FROM segments WHERE trim({_V}) <> '') WHERE of_source <> of_target"
+_Q6 = f"SELECT * FROM (SELECT id, {_NOTES.format("coalesce(source_text,'')")} AS of_source, {_NOTES.format(_V)} AS of_target FROM segments WHERE {_FULL.format(_V)}) WHERE of_source <> of_target"
 _A19 = f"""SELECT id, CAST(sum(greatest(n, 0)) AS BIGINT) AS missing, CAST(sum(greatest(-n, 0)) AS BIGINT) AS extra FROM (SELECT id, token, sum(n) AS n FROM
-        (SELECT id, unnest({_FIG.format("coalesce(source_text,'')")}) AS token, 1 AS n FROM segments WHERE trim({_V}) <> '' UNION ALL SELECT id, unnest({_FIG.format(_V)}), -1 FROM segments WHERE trim({_V}) <> '') GROUP BY id, token) GROUP BY id HAVING sum(abs(n)) > 0"""
+        (SELECT id, unnest({_FIG.format("coalesce(source_text,'')")}) AS token, 1 AS n FROM segments WHERE {_FULL.format(_V)} UNION ALL SELECT id, unnest({_FIG.format(_V)}), -1 FROM segments WHERE {_FULL.format(_V)}) GROUP BY id, token) GROUP BY id HAVING sum(abs(n)) > 0"""
 ORACLE = {
     "j13_term_occurrences": f'WITH {_SPANS} SELECT segment_id, term_id, start_ AS "start", end_ AS "end" FROM spans',
     "j14_longest_matches": f'WITH {_SPANS} SELECT segment_id, term_id, start_ AS "start", end_ AS "end" FROM longest',
@@ -129,7 +130,7 @@ ORACLE = {
     "q1_term_classes": f"WITH {_SPANS} SELECT term_id, class, count(*) AS places, count(DISTINCT segment_id) AS segments FROM classed GROUP BY ALL",
     "u3_source_forms": "SELECT DISTINCT term_id, project_id, form FROM (SELECT id AS term_id, project_id, unnest(list_concat([lower(trim(source))], list_transform(aliases, lambda a: lower(trim(a))))) AS form FROM terms) WHERE form <> ''",
     "q7_term_checks": f"""WITH {_SPANS} SELECT * FROM (SELECT DISTINCT c.segment_id, c.term_id, NOT contains(lower({_V}), lower(t.target)) AS missing, len(list_filter(t.forbidden_targets, lambda f: f <> '' AND contains(lower({_V}), lower(f)))) > 0 AS forbidden
-        FROM classed c JOIN terms t ON t.id = c.term_id JOIN segments s ON s.id = c.segment_id WHERE class = 'enforced' AND trim({_V}) <> '') WHERE missing OR forbidden""",
+        FROM classed c JOIN terms t ON t.id = c.term_id JOIN segments s ON s.id = c.segment_id WHERE class = 'enforced' AND {_FULL.format(_V)}) WHERE missing OR forbidden""",
     "q3_empty_translations": _Q3, "q4_untranslated": _Q4, "q6_footnote_mismatch": _Q6, "a19_placeholders": _A19,
     "n19_unclosed": "SELECT id FROM segments WHERE " + " OR ".join(f"length(replace(source_text, '{a}', '')) < length(replace(source_text, '{b}', ''))" for a, b in ("()", "[]", "“”", "（）", "《》", "「」")),
     "a7_issue_queue": f"SELECT id, count(*) AS issues, string_agg(code, ',' ORDER BY code) AS codes FROM (SELECT id, 'empty' AS code FROM ({_Q3}) UNION ALL SELECT id, 'untranslated' FROM ({_Q4}) UNION ALL SELECT id, 'footnotes' FROM ({_Q6}) UNION ALL SELECT id, 'figures' FROM ({_A19})) GROUP BY id",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,22 +28,39 @@ def local_session(cores: int | str = "*", app: str = "folioquarry", **conf: str)
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin ``df`` over all cores where its scan has fewer splits than cores, before work that is heavy per row."""
+def input_bytes(df: DataFrame) -> int:
+    """What the tables under ``df`` hold on disk, by their statistics; nothing is run. Frames made in the driver count as unlimited."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+
+
+def spread(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """Round-robin ``df`` over all cores where its tables have less than ``most`` bytes a core, before work that is heavy per row.
+
+    A small file may be one row group, hence one task. Tables beyond that have splits enough and aren't shuffled. The plan
+    is judged by its statistics, so that nothing of it runs twice.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(cores) if input_bytes(df) < most * cores else df
+
 
+def small(df: DataFrame, rows: int = 200_000, size: int = 32 << 20) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows and ``size`` bytes as text, else as it is, for a shuffled join.
 
-def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` (narrow) rows, else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    The count runs the plan of ``df``: pass scans of tables, or what ``cut_lineage`` wrote.
+    """
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a folder of this process only where none is set, as in tests."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); a folder of this machine only where none is set and the master is local, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "folioquarry-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "folioquarry-checkpoints"))
     return sc.getCheckpointDir()
 
 
