@@ -21,6 +21,7 @@ from folioquarry.session import spread
 
 CAPACITY = 2048
 SHARD_TOKENS, SHARD_ROWS = 2_000_000, 50_000
+REPEATS = 10_000  # equal rows that are numbered at a time
 
 
 def _at_most(sizes: int, x: int) -> int:
@@ -130,9 +131,14 @@ def pack_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capaci
     sized = map_batches(spread(rows), make, "doc_id bigint, piece_no int, start_offset bigint, end_offset bigint, n_tokens int")
 
     def pack(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values(["n_tokens", "doc_id", "piece_no"], kind="stable")
+        items = items.sort_values(["n_tokens", "doc_id", "piece_no", "start_offset", "end_offset"], kind="stable")
         return items.assign(container_id=np.array(best_two_fit(items["n_tokens"].tolist(), capacity), np.int64) + (key[0] << 32))[[*items.columns[:-1], "container_id"]]
 
-    # A repeated id is spread by its places, so that one id with many rows fills no shard.
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece_no", "n_tokens") + F.monotonically_increasing_id(), F.lit(shards)).cast("bigint"))
+    # Rows are dealt by what they hold and by their number among equal rows, which are interchangeable: a task that runs again
+    # deals alike, one id with many rows fills no shard, and containers are the same in every run.
+    columns = ["doc_id", "piece_no", "start_offset", "end_offset", "n_tokens"]
+    counted = sized.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / REPEATS).cast("bigint"))))
+    each = blocks.withColumn("k", F.explode(F.sequence(F.col("block") * REPEATS, F.least(F.col("n"), (F.col("block") + 1) * REPEATS) - 1)))
+    dealt = each.select(*columns, F.pmod(F.xxhash64(*columns, "k"), F.lit(shards)).cast("bigint").alias("shard"))
     return dealt.groupBy("shard").applyInPandas(pack, "doc_id bigint, piece_no int, start_offset bigint, end_offset bigint, n_tokens int, container_id bigint")
