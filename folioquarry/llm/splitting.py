@@ -104,11 +104,17 @@ def _overlap(text: str, a: int, b: int, starts: list[int], sums: list[int], stre
     chosen = words if best is None else best
     if chosen is not None:
         return starts[chosen], sums[b] - sums[chosen]
-    at = [m.start() for m in re.finditer(r"(?=\s\S)", text[starts[b - 1] : end])]
-    for place in at[-most:]:
-        n = len(enc.encode_ordinary(text[starts[b - 1] + place : end]))
-        if n <= most:
-            return starts[b - 1] + place, n
+    # No unit fits: the longest end of the last one that does, from a space, else a clause, else any character.
+    tail = text[starts[b - 1] : end]
+    for pattern in (r"(?=\s\S)", r"(?<=[，、；：,;:])", r"(?s)(?=.)"):
+        at = [m.start() for m in re.finditer(pattern, tail) if 0 < m.start() < len(tail)][-4 * most :]  # longer ends seldom fit
+        fits = lambda k: len(enc.encode_ordinary(tail[at[k] :])) <= most
+        low, high = 0, len(at)
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if fits(middle) else (middle + 1, high)
+        if low < len(at):
+            return starts[b - 1] + at[low], len(enc.encode_ordinary(tail[at[low] :]))
     return end, 0
 
 
@@ -119,8 +125,8 @@ def split(text: str, enc: tiktoken.Encoding, limit: int = LIMIT, overlap: int =
     ends = [*starts[1:], len(text)]
     if sums[-1] <= limit:
         return [(0, 0, len(text), sums[-1], NAMES[9], False)]
-    weak = any(s < SENTENCE for s in strengths)
-    unbroken = weak and any(len(m[0]) * 4 > limit and len(enc.encode_ordinary(m[0])) > limit for m in _STRETCH.finditer(text))
+    # A token has at least one byte, so only a stretch of more bytes than the limit can exceed it.
+    unbroken = any(len(m[0]) * 4 > limit and len(m[0].encode()) > limit and len(enc.encode_ordinary(m[0])) > limit for m in _STRETCH.finditer(text))
     out, before = [], None
     for a, b in bisect(strengths, sums, 0, len(starts), limit - overlap):
         at, extra = (starts[a], 0) if before is None else _overlap(text, *before, starts, sums, strengths, starts[a], overlap, enc)

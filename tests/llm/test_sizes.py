@@ -46,6 +46,18 @@ def test_kinds(enc):
     assert len(S.split("Short. " * 9, enc)) == 1
 
 
+def test_danda_does_not_break_a_stretch(enc):
+    assert S.split("यह एक लंबा वाक्य है। " * 900, enc)[0][5]
+
+
+def test_overlaps_without_spaces(enc):
+    text = ("这一句话很长" * 90 + "，到此为止" * 20 + "。") * 4
+    pieces = S.split(text, enc)
+    assert len(pieces) > 2
+    for o, a, b, n, *_ in pieces[1:]:
+        assert o < a and len(enc.encode_ordinary(text[o:a])) <= 128 and n == len(enc.encode_ordinary(text[o:b])) <= 1024
+
+
 def test_split_frame(spark):
     df = spark.createDataFrame([(1, "A b c. " * 900, "x"), (2, "short", "x"), (3, None, "x"), (4, "", "x"), (None, "A b c. " * 900, "x"), (1, "A b c. " * 900, "x")], "doc_id bigint, text string, piece string")
     rows = S.split_texts(df).collect()
@@ -74,6 +86,12 @@ def test_best_two_fit_beats_greedy():
     assert max(P.best_two_fit(sizes)) + 1 <= math.ceil(sum(sizes) / 2048) * 1.002 + 1
 
 
+def test_packing_repeats_whatever_the_partitions(spark):
+    df = spark.createDataFrame([(n % 40, "word " * (n % 40 * 31 % 700)) for n in range(400)], "doc_id bigint, text string")
+    one, two = ([tuple(r) for r in P.pack_texts(d).collect()] for d in (df.repartition(3), df.repartition(7, "text")))
+    assert sorted(one) == sorted(two) and len(one) >= 400
+
+
 def test_pack_frame(spark):
     rows = [(n, "word " * (n * 7 % 400), "x") for n in range(300)] + [(1000, "long 🙂 text " * 2000, "x"), (1001, None, "x"), (1002, "", "x"), (None, "word", "x"), (5, "word " * 35, "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, container_id string")
