@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from folioquarry.llm import q_alignment, q_charforms, q_defects, q_leaks, q_scans, q_sentences, q_sizes
 
-#: Modules that define QUERIES (name to function) and ORACLE (name to SQL).
-MODULES = ("q_charforms", "q_leaks", "q_sizes", "q_defects", "q_sentences", "q_scans", "q_alignment")
-
-
-def _all(what: str) -> dict:
-    return {k: v for m in MODULES for k, v in getattr(import_module(f"{__package__}.{m}"), what).items()}
+#: Modules that define QUERIES (name to function) and ORACLE (name to SQL). They are imported here, so that what is missing shows at once.
+MODULES = (q_charforms, q_leaks, q_sizes, q_defects, q_sentences, q_scans, q_alignment)
 
 
 def queries() -> dict:
-    return _all("QUERIES")
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return _all("ORACLE")
+    return {k: v for m in MODULES for k, v in m.ORACLE.items()}
