@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioquarry.functions.lexicon import ROMAN, STOP_WORDS
 from folioquarry.functions.text import WORD, once
-from folioquarry.session import spread
+from folioquarry.session import small, spread
 
 LONGEST, BINS = 5, 8
 CHUNK = r"[^\p{L}\p{Nl}\p{No}’' \t\r\n-]+"
@@ -14,7 +14,7 @@ CHUNK = r"[^\p{L}\p{Nl}\p{No}’' \t\r\n-]+"
 
 def is_content(token: Column, lang: Column) -> Column:
     """A token of two or more characters that is neither function word nor figure nor Roman numeral."""
-    stop = F.coalesce(*[F.when(lang == k, F.array_contains(F.split(F.lit(" ".join(words)), " "), token)) for k, words in STOP_WORDS.items()], F.lit(False))
+    stop = F.coalesce(*[F.when(lang == k, token.isin(*words)) for k, words in STOP_WORDS.items()], F.lit(False))
     return (F.length(token) >= 2) & ~stop & ~token.rlike(r"^[0-9]+$") & ~token.rlike(ROMAN)
 
 
@@ -26,8 +26,8 @@ def chunks(segments: DataFrame) -> DataFrame:
 
 def with_bins(segments: DataFrame) -> DataFrame:
     """``bin``: in which of BINS equal stretches of its book a segment stands."""
-    last = F.max("ordinal").over(Window.partitionBy("document_id"))
-    return segments.withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.col("ordinal") * BINS / (last + 1))).cast("int"))
+    last = small(segments.groupBy("document_id").agg(F.max("ordinal").alias("_last")))  # a row for each book
+    return segments.join(last, "document_id").withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.col("ordinal") * BINS / (F.col("_last") + 1))).cast("int")).drop("_last")
 
 
 def ngrams(chunked: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def without_nested(ranked: DataFrame) -> DataFrame:
 
 
 def han_ngrams(segments: DataFrame, least: int = 3) -> DataFrame:
-    """(key, n, frequency, segments) of runs of 2 to 6 Han characters."""
-    runs = segments.where(F.col("text").rlike("[一-鿿]{2}")).select("id", F.explode(F.regexp_extract_all("text", F.lit("[一-鿿]+"), F.lit(0))).alias("run"))
+    """(key, n, frequency, segments) of runs of 2 to 6 Han characters, those of the compatibility block and the first extension included."""
+    runs = segments.where(F.col("text").rlike("[㐀-䶿一-鿿豈-﫿]{2}")).select("id", F.explode(F.regexp_extract_all("text", F.lit("[㐀-䶿一-鿿豈-﫿]+"), F.lit(0))).alias("run"))
     spans = F.flatten(F.transform(F.sequence(F.lit(2), F.least(F.lit(6), F.length("run"))), lambda n: F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: F.struct(F.substring("run", i, n).alias("key"), n.alias("n")))))
     return runs.where(F.length("run") >= 2).select("id", F.explode(spans).alias("s")).groupBy("s.key", "s.n").agg(F.count(F.lit(1)).alias("frequency"), F.count_distinct("id").alias("segments")).where(F.col("frequency") >= least)

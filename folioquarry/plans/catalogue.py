@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that define QUERIES (name to function) and ORACLE (name to SQL).
-MODULES = ("documents", "segments", "quality", "usage", "mining", "streams")
+MODULES = ("documents", "segments", "quality", "usage", "mining", "candidates", "streams")
 
 
 def _all(what: str) -> dict:
@@ -24,4 +24,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return queries()["term_candidates"](spark, folder)
+    return queries()["mined_candidates"](spark, folder)

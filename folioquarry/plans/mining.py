@@ -10,8 +10,7 @@ from folioquarry.operators import mining as M
 from folioquarry.session import cut_lineage, small
 from folioquarry.sources.tables import table
 
-CANDIDATES = 70  # reported for each language
-LANGS = ("en", "fr", "de", "es")
+LANGS = ("en", "fr", "de", "es", "it", "pt", "hi", "th")  # those whose words are set apart by spaces or marks; Han characters have m3
 
 
 def _segments(spark: SparkSession, folder: str, *langs: str) -> DataFrame:
@@ -46,7 +45,11 @@ def m7_association(spark: SparkSession, folder: str) -> DataFrame:
 
 def a10_budget(spark: SparkSession, folder: str) -> DataFrame:
     """How many candidates a corpus of its size deserves: 20 and 0.45 for each root of its units, from 25 to 70."""
-    units = _chunks(spark, folder).groupBy("lang").agg(F.sum(F.size("tokens")).alias("units"))
+    return _budget(_chunks(spark, folder))
+
+
+def _budget(chunked: DataFrame) -> DataFrame:
+    units = chunked.groupBy("lang").agg(F.sum(F.size("tokens")).alias("units"))
     return units.select("lang", "units", F.least(F.lit(70), F.greatest(F.lit(25), F.bround(20 + 0.45 * F.sqrt("units")).cast("bigint"))).alias("budget"))
 
 
@@ -66,13 +69,14 @@ def term_candidates(spark: SparkSession, folder: str) -> DataFrame:
     stats = M.associations(M.c_values(counted), M.word_uses(chunked))
     gated = M.without_nested(M.scored(stats)).where("(n = 1 AND frequency >= 3 AND length(key) >= 4) OR (n BETWEEN 2 AND 3 AND association >= 0.04 AND segments >= 2)")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("frequency"), "key"))
-    return gated.withColumn("place", place).where(F.col("place") <= CANDIDATES).select("lang", "place", "key", "n", "frequency", "segments", F.round("score", 4).alias("score"))
+    budget = small(_budget(chunked).select("lang", "budget"))
+    return gated.withColumn("place", place).join(budget, "lang").where(F.col("place") <= F.col("budget")).select("lang", "place", "key", "n", "frequency", "segments", F.round("score", 4).alias("score"))
 
 
 QUERIES = {f.__name__: f for f in (m2_ngrams, m3_han_ngrams, m6_c_value, m7_association, a10_budget, a16_language, term_candidates)}
 
 _LIST = lambda words: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
-_STOP = " OR ".join(f"(lang = '{k}' AND t IN {_LIST(STOP_WORDS[k])})" for k in LANGS)
+_STOP = " OR ".join(f"(lang = '{k}' AND t IN {_LIST(STOP_WORDS[k])})" for k in LANGS if k in STOP_WORDS)
 _W = WORD.replace("'", "''")
 _CHUNK = M.CHUNK.replace("'", "''")
 _STATS = rf"""
@@ -96,14 +100,15 @@ _STATS = rf"""
     uses AS (SELECT lang, t AS word, count(*) AS uses FROM (SELECT lang, unnest(tokens) AS t FROM c) GROUP BY lang, t),
     mean AS (SELECT lang, key, exp(avg(ln(uses))) AS mean FROM (SELECT lang, key, unnest(ws) AS word FROM split_) JOIN uses USING (lang, word) GROUP BY lang, key),
     a AS (SELECT cv.*, CASE WHEN n = 1 THEN 0.35 ELSE least(1.0, frequency / mean) END AS association FROM cv LEFT JOIN mean USING (lang, key))"""
+_BUDGET = "SELECT lang, CAST(sum(len(tokens)) AS BIGINT) AS units, least(70, greatest(25, CAST(round_even(20 + 0.45 * sqrt(sum(len(tokens))), 0) AS BIGINT))) AS budget FROM c GROUP BY lang"
 ORACLE = {
     "m2_ngrams": f"WITH {_STATS} SELECT * FROM stats",
-    "m3_han_ngrams": """WITH r AS (SELECT s.id, unnest(regexp_extract_all(source_text, '[一-鿿]+')) AS run FROM segments s JOIN book_documents b ON b.id = s.document_id WHERE source_lang IN ('zh', 'ja') AND regexp_matches(source_text, '[一-鿿]{2}')),
+    "m3_han_ngrams": """WITH r AS (SELECT s.id, unnest(regexp_extract_all(source_text, '[㐀-䶿一-鿿豈-﫿]+')) AS run FROM segments s JOIN book_documents b ON b.id = s.document_id WHERE source_lang IN ('zh', 'ja') AND regexp_matches(source_text, '[㐀-䶿一-鿿豈-﫿]{2}')),
         g AS (SELECT id, substring(run, i, n) AS key, n FROM (SELECT *, unnest(range(1, length(run) - n + 2)) AS i FROM (SELECT *, unnest(range(2, least(6, length(run)) + 1)) AS n FROM r WHERE length(run) >= 2)))
         SELECT key, CAST(n AS INT) AS n, count(*) AS frequency, count(DISTINCT id) AS segments FROM g GROUP BY key, n HAVING count(*) >= 3""",
     "m6_c_value": f"WITH {_STATS} SELECT lang, key, round(c_value, 6) AS c_value FROM cv",
     "m7_association": f"WITH {_STATS} SELECT lang, key, round(association, 6) AS association FROM a",
-    "a10_budget": f"WITH {_STATS} SELECT lang, CAST(sum(len(tokens)) AS BIGINT) AS units, least(70, greatest(25, CAST(round_even(20 + 0.45 * sqrt(sum(len(tokens))), 0) AS BIGINT))) AS budget FROM c GROUP BY lang",
+    "a10_budget": f"WITH {_STATS} {_BUDGET}",
     "a16_language": rf"""WITH l AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{w.replace(chr(39), chr(39) * 2)}')" for k, ws in STOP_WORDS.items() for w in ws)}) AS t(lang, word)), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_W}')) AS word FROM documents),
         h AS (SELECT doc_id, lang, count(*) AS hits FROM w JOIN (SELECT DISTINCT * FROM l) USING (word) GROUP BY ALL HAVING count(*) >= 2) SELECT doc_id, lang, hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, lang) AS n FROM h) WHERE n = 1""",
     "term_candidates": f"""WITH {_STATS},
@@ -112,5 +117,5 @@ ORACLE = {
                   + 0.12 * least(1.0, greatest(0.0, (length(key) / n - 3) / 9)) + 0.06 * least(1.0, contexts / least(16, greatest(2, 2 * frequency))) + 0.05 * CASE WHEN n > 1 THEN 1 ELSE 0 END, 6) AS score FROM a),
         gated AS (SELECT q.* FROM q WHERE NOT EXISTS (SELECT 1 FROM sub WHERE sub.lang = q.lang AND sub.key = q.key AND sub.frequency = q.frequency) AND ((n = 1 AND frequency >= 3 AND length(key) >= 4) OR (n BETWEEN 2 AND 3 AND association >= 0.04 AND segments >= 2))),
         r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, frequency DESC, key) AS place FROM gated)
-        SELECT lang, place, key, n, frequency, segments, round(score, 4) AS score FROM r WHERE place <= {CANDIDATES}""",
+        SELECT lang, place, key, n, frequency, segments, round(score, 4) AS score FROM r JOIN ({_BUDGET}) USING (lang) WHERE place <= budget""",
 }
