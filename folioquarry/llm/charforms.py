@@ -15,13 +15,25 @@ import re
 import unicodedata
 from functools import cache
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Letters of other scripts that look like a Latin letter.
-LOOK_ALIKES = dict(zip(
-    "АВЕКМНОРСТУХЅІЈаеорсухѕіјһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοօɡɑ",
-    "ABEKMHOPCTYXSIJaeopcyxsijhdqwABEZHIKMNOPTYXvooga",
-))
+from folioquarry.session import cut_lineage
+
+MEMBERS = 1000  # of a class of one look that one task pairs with the class
+
+# Letters of other scripts, and of phonetic writing, that look like a Latin letter, by script.
+LOOK_ALIKES = {a: b for letters, latin in (
+    ("АВЕКМНОРСТУХЅІЈӀԌԚԜѴаеорсухѕіјһӏԁԛԝѵү", "ABEKMHOPCTYXSIJIGQWVaeopcyxsijhldqwvy"),  # Cyrillic
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿνοαριυγϲϳ", "ABEZHIKMNOPTYXCJvoapiuycj"),  # Greek
+    ("ՕՏԼՍօսոցզհյ", "OSLUoungqhj"),  # Armenian
+    ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHYGZVSLCPKB"),  # Cherokee
+    ("ⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲬⲟⲣⲥ", "BHIKMNOPCTXopc"),  # Coptic
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),  # Lisu
+    ("ɡɑ", "ga"),
+) for a, b in zip(letters, latin, strict=True)}
+# The scripts of these letters, as they stand in the names of characters.
+SCRIPTS = ("GREEK", "CYRILLIC", "ARMENIAN", "CHEROKEE", "COPTIC", "LISU")
 # Hyphens that look like the hyphen-minus.
 HYPHENS = "‐‑﹣－"
 # Compatibility tags of the Unicode database whose characters look like what they stand for.
@@ -35,7 +47,7 @@ def _is_space(ch: str) -> bool:
 
 
 def _invisible(ch: str) -> bool:
-    return unicodedata.category(ch) == "Cf" and ch not in "؀؁؂؃۝" or "︀" <= ch <= "️" or ch in "͏ᅟᅠ឴឵ㅤ"
+    return unicodedata.category(ch) == "Cf" and ch not in "؀؁؂؃۝" or "︀" <= ch <= "️" or "\U000E0100" <= ch <= "\U000E01EF" or ch in "͏ᅟᅠ឴឵ㅤ"
 
 
 def decompose(ch: str) -> str:
@@ -49,26 +61,33 @@ def decompose(ch: str) -> str:
     tag, _, parts = unicodedata.decomposition(ch).rpartition("> ")
     if not parts or tag and tag + ">" not in SAME_LOOK or tag and parts.startswith("0020 "):
         return ch
-    return "".join(decompose(chr(int(x, 16))) for x in parts.split())
+    whole = "".join(decompose(chr(int(x, 16))) for x in parts.split())
+    return unicodedata.normalize("NFC", whole) if any("\u1100" <= c <= "\u11FF" for c in whole) else whole
 
 
 @cache
-def code_points() -> tuple[tuple[str, str, str, list[int]], ...]:
-    """(character, parts, look-alike or None, combining class of each part) of every character that isn't a class-0 character standing for itself."""
+def code_points() -> tuple[tuple[str, str, str, bool, list[int]], ...]:
+    """(character, parts, parts with look-alikes replaced, whether it keeps its word in its own script, combining class of each part).
+
+    Left out are characters of class 0 that stand for themselves. Look-alikes are told after decomposition, so that an accented one
+    is found too. A letter of ``SCRIPTS`` without look-alike shows that its word is written in that script.
+    """
     rows = []
-    for n in range(0x80, 0x30000):
+    for n in (*range(0x80, 0x30000), *range(0xE0000, 0xE0200)):
         ch = chr(n)
         if 0xAC00 <= n <= 0xD7A3 or 0xD800 <= n <= 0xDFFF or unicodedata.category(ch) in ("Cn", "Co"):
             continue
-        parts, look = decompose(ch), LOOK_ALIKES.get(ch)
-        if parts != ch or look or unicodedata.combining(ch) or ch in "‌‍":
-            rows.append((ch, parts, look, [unicodedata.combining(c) for c in parts]))
+        parts = decompose(ch)
+        looks = "".join(LOOK_ALIKES.get(c, c) for c in parts)
+        foreign = any(c not in LOOK_ALIKES and c.isalpha() and unicodedata.name(c, "").startswith(SCRIPTS) for c in parts)
+        if parts != ch or looks != ch or foreign or unicodedata.combining(ch) or ch in "‌‍":
+            rows.append((ch, parts, looks, foreign, [unicodedata.combining(c) for c in parts]))
     return tuple(rows)
 
 
 @cache
 def compositions() -> dict[str, str]:
-    """Pairs of characters and what they recompose to (without Hangul syllables)."""
+    """Pairs of characters and what they recompose to, but for Hangul syllables."""
     out = {}
     for n in range(0xC0, 0x1D200):
         d = unicodedata.decomposition(chr(n))
@@ -80,13 +99,13 @@ def compositions() -> dict[str, str]:
 @cache
 def stable() -> tuple[str, str, str]:
     """Bodies of regex classes: characters that stand for themselves in every context; letters and figures, the others, and both."""
-    mapped = {r[0] for r in code_points()}
+    mapped = {r[0]: r for r in code_points()}
 
     def plain(n: int) -> bool:
         ch = chr(n)
         if n < 0x20 or 0x1100 <= n < 0x1200:
             return n in (9, 10, 13)
-        composed = ch in mapped and unicodedata.normalize("NFC", ch) == ch and unicodedata.decomposition(ch)[:1] not in ("<", "") and ch not in LOOK_ALIKES
+        composed = ch in mapped and unicodedata.normalize("NFC", ch) == ch and unicodedata.decomposition(ch)[:1] not in ("<", "") and mapped[ch][1] == mapped[ch][2]
         return (ch not in mapped or composed) and unicodedata.category(ch)[0] not in "MC"
 
     words, others, both = [], [], []
@@ -105,8 +124,8 @@ def stable() -> tuple[str, str, str]:
 
 
 def table(spark: SparkSession) -> DataFrame:
-    """The fixed table of mapped characters (under 6,000 rows at any size of data, so it may be broadcast)."""
-    return spark.createDataFrame(list(code_points()), "ch string, parts string, look string, classes array<int>")
+    """The fixed table of mapped characters (under 8,000 rows at any size of data, so it may be broadcast)."""
+    return spark.createDataFrame(list(code_points()), "ch string, parts string, looks string, foreign boolean, classes array<int>")
 
 
 def is_stable(text: Column) -> Column:
@@ -120,29 +139,40 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(cut), F.lit(0))
 
 
+def _syllable(a: Column, b: Column) -> Column:
+    """The Hangul syllable of a leading consonant and a vowel, or of such a syllable and a trailing consonant; else null."""
+    open_ = (F.ascii(a) - 0x1100) * 588 + (F.ascii(b) - 0x1161) * 28 + 0xAC00
+    closed = F.ascii(a) + F.ascii(b) - 0x11A7
+    code = (F.when(b.between("\u1161", "\u1175") & a.between("\u1100", "\u1112"), open_)
+            .when(b.between("\u11A8", "\u11C2") & a.between("\uAC00", "\uD7A3") & ((F.ascii(a) - 0xAC00) % 28 == 0), closed))
+    return F.decode(F.unhex(F.hex(code)), "UTF-16BE")
+
+
 def _consistent_pieces(distinct: DataFrame) -> DataFrame:
     """piece -> form, for distinct pieces: explode, map, order marks, recompose, rebuild."""
     spark = distinct.sparkSession
     points = distinct.select("piece", F.posexplode(F.regexp_extract_all("piece", F.lit("(?s)."), F.lit(0))).alias("pos", "ch"))
+    chars = lambda c: F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
     mapped = points.join(F.broadcast(table(spark)), "ch", "left").select(
-        "piece", "pos",
-        (F.col("ch").rlike(r"[\p{IsGreek}\p{IsCyrillic}]") & F.col("look").isNull()).alias("foreign"),
-        F.posexplode_outer(F.when(F.col("parts").isNull(), F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("ccc"), F.lit(None).cast("string").alias("look"))))
-                           .otherwise(F.transform(F.arrays_zip(F.regexp_extract_all("parts", F.lit("(?s)."), F.lit(0)).alias("c"), F.col("classes").alias("ccc")),
-                                                  lambda p: F.struct(p["c"].alias("c"), p["ccc"].alias("ccc"), F.col("look").alias("look"))))).alias("sub", "p"),
+        "piece", "pos", F.coalesce("foreign", F.lit(False)).alias("foreign"),
+        F.posexplode_outer(F.when(F.col("parts").isNull(), F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("ccc"), F.col("ch").alias("look"))))
+                           .otherwise(F.arrays_zip(chars("parts").alias("c"), F.col("classes").alias("ccc"), chars("looks").alias("look")))).alias("sub", "p"),
     )
     points_of = F.sort_array(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("pos", "sub", F.col("p.c").alias("c"), F.col("p.ccc").alias("ccc"), F.col("p.look").alias("look")))))
     words = mapped.groupBy("piece").agg(points_of.alias("points"), F.bool_or("foreign").alias("foreign"))
     # Number the clusters (a class-0 character with its marks), then order within each by class, ties by place.
     numbered = F.aggregate("points", F.struct(F.lit(0).alias("n"), F.expr("CAST(array() AS array<struct<n:int,ccc:int,at:int,c:string>>)").alias("out")), lambda a, p: F.struct(
         (a["n"] + F.when(p["ccc"] == 0, 1).otherwise(0)).alias("n"),
-        F.concat(a["out"], F.array(F.struct((a["n"] + F.when(p["ccc"] == 0, 1).otherwise(0)).alias("n"), p["ccc"].alias("ccc"), F.size(a["out"]).alias("at"), F.when(F.col("foreign"), p["c"]).otherwise(F.coalesce(p["look"], p["c"])).alias("c")))).alias("out")))
+        F.concat(a["out"], F.array(F.struct((a["n"] + F.when(p["ccc"] == 0, 1).otherwise(0)).alias("n"), p["ccc"].alias("ccc"), F.size(a["out"]).alias("at"), F.when(F.col("foreign"), p["c"]).otherwise(p["look"]).alias("c")))).alias("out")))
     ordered = words.select("piece", F.sort_array(numbered["out"]).alias("points"))
     pairs = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in compositions().items())), F.lit(","), F.lit(":"))
     empty = F.struct(F.lit("").alias("done"), F.lit("").alias("starter"), F.lit("").alias("marks"), F.lit(0).alias("last"))
 
+    # Only marks and a few others ever join what stands before them, so that other characters aren't looked up.
+    seconds = F.lit("".join(sorted({k[1:] for k in compositions() if not unicodedata.combining(k[1:])})))
+
     def recompose(a: Column, p: Column) -> Column:
-        whole = F.try_element_at(pairs, F.concat(a["starter"], p["c"]))
+        whole = F.coalesce(_syllable(a["starter"], p["c"]), F.when((p["ccc"] > 0) | F.contains(seconds, p["c"]), F.try_element_at(pairs, F.concat(a["starter"], p["c"]))))
         joiner = p["c"].isin("‌", "‍")
         free = F.when(p["ccc"] == 0, a["marks"] == "").otherwise(a["last"] < p["ccc"])
         return (F.when(joiner & (a["last"] != 9), a)  # a joiner shows only after a virama (class 9)
@@ -178,51 +208,70 @@ def with_consistent_text(df: DataFrame, column: str, out: str = "consistent_text
     return keyed.join(forms, "_fq_key", "left").withColumn(out, F.coalesce("_fq_form", column)).drop("_fq_key", "_fq_form")
 
 
-def look_alike_pairs(df: DataFrame, record: str, scope: list[str], column: str) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: records of one scope whose texts look the same but aren't made of the same characters.
+def _looks(df: DataFrame, record: str, scope: list[str], column: str) -> tuple[DataFrame, list[str]]:
+    """(id, scope columns, look, raw) of the distinct records that look like a record of other characters, and the names of scope and look.
 
-    Rows with a null id, scope or text pair with nothing. Repeated rows count once. Texts of white space or invisible
-    characters only pair with nothing. Only unstable texts look for partners: two stable texts of one look are equal.
+    ``look`` and ``raw`` are md5 of the common look and of the text. Only unstable texts look for partners: two stable texts of
+    one look are equal. A stable text is its own look and its raw key is the key of its look.
     """
     rows = df.where(F.col(record).isNotNull() & F.col(column).isNotNull()).select(F.col(record).alias("id"), *[F.col(c).alias(f"s{n}") for n, c in enumerate(scope)], F.col(column).alias("t"))
     unstable = ~is_stable(F.col("t")) | F.col("t").rlike(r"\s\s|^\s|\s$|[\t\r\n]")
-    rows = rows.withColumn("unstable", unstable)
+    keyed = rows.withColumn("unstable", unstable).withColumn("_fq_key", F.md5("t"))
     look = F.trim(F.regexp_replace(F.coalesce("_fq_form", "t"), r"\s+", " "))
-    keyed = rows.withColumn("_fq_key", F.md5("t"))
-    odd = keyed.where("unstable").join(consistent_forms(rows.where("unstable"), "t"), "_fq_key", "left").withColumn("look", look).where("look <> ''")
     keys = [f"s{n}" for n in range(len(scope))] + ["look"]
-    odd = odd.select("id", *keys[:-1], F.md5("look").alias("look"), F.col("_fq_key").alias("raw")).distinct()
-    # A stable text is its own look and its raw key is the key of its look.
+    odd = keyed.where("unstable").join(consistent_forms(keyed.where("unstable"), "t"), "_fq_key", "left").withColumn("look", look).where("look <> ''")
+    odd = cut_lineage(odd.select("id", *keys[:-1], F.md5("look").alias("look"), F.col("_fq_key").alias("raw")).distinct())
     even = keyed.where("NOT unstable").select("id", *keys[:-1], F.col("_fq_key").alias("look"), F.col("_fq_key").alias("raw"))
-    wanted = odd.select(*keys).distinct()
-    near = even.join(wanted, keys, "left_semi").distinct()
-    a = odd.select(*keys, F.col("id").alias("a"), F.col("raw").alias("raw_a"))
-    b = odd.select(*keys, F.col("id").alias("b"), F.col("raw").alias("raw_b"), F.lit(True).alias("odd")).unionByName(near.select(*keys, F.col("id").alias("b"), F.col("raw").alias("raw_b"), F.lit(False).alias("odd")))
-    pairs = a.join(b, keys).where((F.col("raw_a") != F.col("raw_b")) & (F.col("a") != F.col("b")) & (~F.col("odd") | (F.col("a") < F.col("b"))))
+    near = even.join(odd.select(*keys).distinct(), keys, "left_semi").distinct()
+    return odd.unionByName(near), keys
+
+
+def look_alike_classes(df: DataFrame, record: str, scope: list[str], column: str) -> DataFrame:
+    """(id, scope columns, look, raw, class_id, members, links): records of each look that is written in more than one way.
+
+    ``class_id`` is the least id of the look in its scope, ``links`` the number of members made of other characters. Rows with a
+    null id, scope or text, and texts of white space or invisible characters only, are in no class. Repeated rows count once.
+    """
+    looks, keys = _looks(df, record, scope, column)
+    written = looks.groupBy(*keys, "raw").agg(F.count(F.lit(1)).alias("same"), F.min("id").alias("least"))
+    whole = written.groupBy(*keys).agg(F.sum("same").alias("members"), F.count(F.lit(1)).alias("ways"), F.min("least").alias("class_id")).where("ways > 1").drop("ways")
+    return looks.join(whole, keys).join(written.drop("least"), [*keys, "raw"]).select("id", *keys, "raw", "class_id", "members", (F.col("members") - F.col("same")).alias("links"))
+
+
+def look_alike_pairs(df: DataFrame, record: str, scope: list[str], column: str) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: records of one scope whose texts look the same but aren't made of the same characters.
+
+    The pairs come from the classes of ``look_alike_classes``; a large class is dealt to as many tasks as its size needs.
+    """
+    classes = cut_lineage(look_alike_classes(df, record, scope, column))
+    keys = [f"s{n}" for n in range(len(scope))] + ["look"]
+    parts = F.ceil(F.col("members") / MEMBERS).cast("int")
+    a = classes.select(*keys, F.col("id").alias("a"), F.col("raw").alias("raw_a"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    b = classes.select(*keys, F.col("id").alias("b"), F.col("raw").alias("raw_b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    pairs = a.join(b, [*keys, "part"]).where(F.col("raw_a") < F.col("raw_b"))
     return pairs.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
 
 @cache
-def _python_tables() -> tuple[dict[int, str], dict[int, str]]:
-    """For str.translate: all of the table, and all but its look-alikes."""
-    whole = {ord(r[0]): "".join(LOOK_ALIKES.get(c, c) for c in r[1]) if r[2] is None else r[2] for r in code_points()}
-    return whole, {k: v for k, v in whole.items() if chr(k) not in LOOK_ALIKES}
+def _python_tables() -> tuple[dict[int, str], dict[int, str], re.Pattern]:
+    """For str.translate: parts, and parts with look-alikes replaced; and what keeps a word in its script."""
+    rows = [r for r in code_points() if r[0] not in "‌‍"]
+    return {ord(r[0]): r[1] for r in rows}, {ord(r[0]): r[2] for r in rows}, re.compile("[" + "".join(r[0] for r in rows if r[3]) + "]")
 
 
 _JOINERS = re.compile("[‌‍]+")
-_TOKEN = re.compile(r"[^\W_][^\s!-/:-@\[-`{-~]*|[^\x00-\x7f]+")
-
-
-def _consistent_word(m: re.Match) -> str:
-    w = m[0]
-    if w.isascii():
-        return w
-    foreign = any("\u0370" <= c < "\u0530" and c not in LOOK_ALIKES and c.isalpha() for c in w)
-    if "\u200c" in w or "\u200d" in w:
-        w = _JOINERS.sub(lambda j: j[0] if j.start() and unicodedata.combining(m[0][j.start() - 1]) == 9 else "", w)
-    return w.translate(_python_tables()[foreign])
+_WORDS = regex.compile(rf"[{WORD}]+")
 
 
 def consistent(text: str) -> str:
     """The same form in plain Python, for texts already in an Arrow function (and to test the operator against)."""
-    return text if text.isascii() else unicodedata.normalize("NFC", _TOKEN.sub(_consistent_word, text))
+    if text.isascii():
+        return text
+    parts, looks, foreign = _python_tables()
+    if "\u200c" in text or "\u200d" in text:
+        text = _JOINERS.sub(lambda j: j[0] if j.start() and unicodedata.combining(text[j.start() - 1]) == 9 else "", text)
+    if foreign.search(text):
+        text = _WORDS.sub(lambda m: m[0].translate(parts if foreign.search(m[0]) else looks), text).translate(parts)
+    else:
+        text = text.translate(looks)
+    return unicodedata.normalize("NFC", text)

@@ -7,7 +7,7 @@ from folioquarry.llm import charforms as C
 
 SAMPLES = [
     "Sоvеreіgn", "ｆｕｌｌ　ｗｉｄｔｈ", "été", "ậ", "ậ", "ﬁne oﬃce", "zero​width­here", "no break", "co‑op co‐op", "⼀⼈", "x²",
-    "क्‍ष", "русский жук", "K Å", "≠ ́", "각", "à֮̕b", "", "plain", "Привет Pоpe", "，。！", "…", "𝐀𝐁", "½",
+    "क्‍ष", "русский жук", "K Å", "≠ ́", "각", "à֮̕b", "\u1112\u1161\u11ab\u1100\u116e\u11a8\u1100", "", "plain", "Привет Pоpe", "，。！", "…", "𝐀𝐁", "½",
 ]
 
 
@@ -48,3 +48,25 @@ def test_keeps_rows_and_long_texts(spark):
     out = C.with_consistent_text(df, "t").collect()
     assert len(out) == 3 and {r.consistent_text for r in out} == {None, "Sovereign fire " * 20000}
     assert {r.ch for r in out} == {"k"}
+
+
+def test_look_alikes_after_decomposition_and_rare_invisibles(spark):
+    rows = [("a", "d", "ё"), ("b", "d", "ë"), ("c", "d", "ρ"), ("e", "d", "p"), ("f", "d", "a\U000E0101b"), ("g", "d", "ab"), ("h", "d", "ї"), ("i", "d", "ï"), ("j", "d", "жёлтый"), ("k", "d", "жëлтый")]
+    df = spark.createDataFrame(rows, "id string, s string, t string")
+    assert {tuple(r) for r in C.look_alike_pairs(df, "id", ["s"], "t").collect()} == {("a", "b"), ("c", "e"), ("f", "g"), ("h", "i")}
+    classes = {r.id: (r.class_id, r.members, r.links) for r in C.look_alike_classes(df, "id", ["s"], "t").collect()}
+    assert classes["b"] == ("a", 2, 1) and classes["g"] == ("f", 2, 1) and "j" not in classes
+
+
+def test_both_forms_agree_on_every_mapped_character(spark):
+    texts = [t for ch, *_ in C.code_points() for t in (ch, f"a{ch}b")] + [chr(n) for n in range(0x20, 0x2FFF) if unicodedata.category(chr(n)) not in ("Cn", "Co", "Cs")]
+    df = spark.createDataFrame([(t,) for t in dict.fromkeys(texts)], "t string")
+    wrong = [(r.t, r.consistent_text) for r in C.with_consistent_text(df, "t").collect() if r.consistent_text != C.consistent(r.t)]
+    assert not wrong, wrong[:20]
+
+
+def test_large_class_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(C, "MEMBERS", 3)
+    rows = [(f"{n:02d}", "d", "Pope" if n % 2 else "Pоpe") for n in range(20)]
+    pairs = C.look_alike_pairs(spark.createDataFrame(rows, "id string, s string, t string"), "id", ["s"], "t").collect()
+    assert len(pairs) == len({tuple(p) for p in pairs}) == 100
