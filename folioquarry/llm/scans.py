@@ -1,8 +1,10 @@
 """Texts of scanned pages: running heads, page numbers, cut words and misread characters, and the paragraphs without them.
 
-Method: the lines of every record are labelled as header, body or break (the last line of a paragraph) by a linear
+Method: the lines of every record are labelled as header, body or break (the last line of a paragraph) by a linear-chain
 conditional model, decoded with Viterbi over layout features of a line and the labels of its neighbours; paragraphs are
-put together from the labels. What a label or a repair needs to know of the whole corpus is counted over all records:
+put together from the labels. The model is fitted to the texts themselves: in a bounded sample of books, page numbers that
+run with the sheets and lines that repeat a title whole label lines for certain, and the model carries them over to damaged
+and shortened ones. What a label or a repair needs to know of the whole corpus is counted over all records:
 the distance of printed page numbers in each book, the words of each language, and compounds written with a hyphen.
 """
 
@@ -10,26 +12,31 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from folioquarry.functions.arrow import map_batches
+from folioquarry.operators.ordered import following, previous, running_sum
 from folioquarry.session import cut_lineage, small, spread
 
 HEADER, BODY, BREAK = 0, 1, 2
-# Weights of the line model: features of a line by label, and pairs of labels.
-WEIGHTS = {
-    "title": (9.0, -2.0, -2.0), "number": (7.0, 0.0, -1.0), "edge": (0.5, 0.0, 0.0), "short": (0.3, -0.5, 1.0), "stopped": (-1.0, 0.0, 1.5),
-    "words": (-4.0, 1.0, 0.5), "last": (0.0, -0.5, 1.0), "cut": (-4.0, 2.0, -4.0), "bias": (-1.0, 0.5, 0.0),
-}
-PAIRS = ((-0.5, 0.0, 0.0), (0.0, 0.5, 0.2), (0.3, 0.0, 0.0))
+LABELS = ("header", "body", "break")
+FEATURES = ("title", "number", "edge", "short", "stopped", "words", "last", "cut", "bias")
+# What the fit starts from and is held to by a weak prior: weights of FEATURES by label, and of pairs of labels.
+PRIOR = (((9.0, -2.0, -2.0), (7.0, 0.0, -1.0), (0.5, 0.0, 0.0), (0.3, -0.5, 1.0), (-1.0, 0.0, 1.5), (-4.0, 1.0, 0.5), (0.0, -0.5, 1.0), (-4.0, 2.0, -4.0), (-1.0, 0.5, 0.0)),
+         ((-0.5, 0.0, 0.0), (0.0, 0.5, 0.2), (0.3, 0.0, 0.0)))
+SAMPLE_BOOKS, SAMPLE_RECORDS, SAMPLE_CHARS = 40, 4000, 5000  # bounds of the sample that the model is fitted to: books, records in all, characters of a record
+ROUNDS, RATE, HOLD = 80, 0.3, 0.05  # of the fit: steps, their size, and how strongly the prior holds
 HYPHENS = "-‐­¬"
 # Characters and pairs that recognition takes for one another.
 CONFUSED = "ec ce oa ao tf ft co oc un nu il li l1 1l i1 1i I1 1I Il lI lI O0 0O o0 0o s5 5s S5 5S g9 9g b6 6b o6 6o e6 6e é6 6é B8 8B z2 2z hb bh vy yv ij ji íi ií ìi éè èé aá áa oó óo eé ée uü üu"
 CONFUSED_PAIRS = (("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("li", "h"), ("h", "li"), ("ii", "u"), ("u", "ii"), ("vv", "w"), ("w", "vv"), ("ri", "n"), ("n", "ri"), ("in", "m"), ("m", "in"), ("nn", "rm"), ("fi", "h"), ("h", "fi"), ("ii", "ü"), ("a'", "ä"), ("o'", "ö"), ("u'", "ü"), ("e'", "é"))
 COMMON, TIMES = 5, 8  # a word is the right reading of another if it occurs so often, and so many times as often
+SHORT, SHORT_TIMES = 3, 20  # words of so few letters resemble more common words by chance: a reading must be so many times as often
 
 _SUBSTITUTES: dict[str, str] = {}
 for _pair in CONFUSED.split():
@@ -68,9 +75,12 @@ def folded(text: str) -> str:
 
 def like_title(line: str, titles: tuple[str, ...]) -> bool:
     """Whether ``line`` is one of ``titles`` (folded), whole, shortened at its end, or damaged."""
+    longest = max(map(len, titles), default=0) * 1.2 + 2
+    if len(line) > 140 and sum(map(str.isalnum, line)) > longest:
+        return False  # folding leaves no fewer characters
     core = folded(line)
     if len(core) < 4:
-        return False
+        return bool(core) and core in titles
     for t in titles:
         if len(core) > len(t) * 1.2 + 2 or len(core) < 6 and len(core) * 2 < len(t):
             continue
@@ -95,44 +105,140 @@ def _heads(line: str) -> list[tuple[str, int | None]]:
     return out
 
 
-def label(lines: list[str], titles: tuple[str, ...]) -> tuple[list[int], list[list[int]], list[bool]]:
-    """The label of each line, the page numbers it may print, and whether it looks like a title."""
+def observed(lines: list[str], titles: tuple[str, ...]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+    """The places in FEATURES of what holds for each line, the page numbers it may print, and whether it looks like a title."""
     width = max((len(x) for x in lines), default=0)
-    emissions, numbers, titled = [], [], []
+    seen, numbers, titled = [], [], []
     for k, line in enumerate(lines):
         text = line.strip()
         number, head, found = printed_number(text), False, []
         if number is not None:
             found = [number]
-        elif len(text) <= 140:
+        else:
             for rest, n in _heads(text):
                 if like_title(rest, titles):
                     head = True
                     found += [n] * (n is not None)
-        on = ["bias"]
-        on += ["title"] * head + ["number"] * (number is not None) + ["edge"] * (k in (0, len(lines) - 1)) + ["last"] * (k == len(lines) - 1)
-        on += ["short"] * (len(text) < 0.8 * width) + ["stopped"] * (text[-1:] in ".!?…:;»”)") + ["words"] * (text.count(" ") > 2) + ["cut"] * bool(text[-1:] in HYPHENS and _CUT.search(text))
-        emissions.append([sum(WEIGHTS[f][s] for f in on) for s in (HEADER, BODY, BREAK)])
+        holds = (head, number is not None, k in (0, len(lines) - 1), len(text) < 0.8 * width, text[-1:] in ".!?…:;»”)", text.count(" ") > 2, k == len(lines) - 1, bool(text[-1:] in HYPHENS and _CUT.search(text)), True)
+        seen.append([f for f, x in enumerate(holds) if x])
         numbers.append(found)
         titled.append(head)
-    if not lines:
-        return [], [], []
+    return seen, numbers, titled
+
+
+def decode(seen: list[list[int]], model: tuple) -> list[int]:
+    """The best row of labels for the features of each line."""
+    if not seen:
+        return []
+    weights, pairs = model
+    emissions = [[sum(weights[f][s] for f in on) for s in (HEADER, BODY, BREAK)] for on in seen]
     best, back = emissions[0], []
     for e in emissions[1:]:
-        step = [max((best[p] + PAIRS[p][s], p) for p in range(3)) for s in range(3)]
+        step = [max((best[p] + pairs[p][s], p) for p in range(3)) for s in range(3)]
         back.append([p for _, p in step])
         best = [step[s][0] + e[s] for s in range(3)]
     path = [max(range(3), key=best.__getitem__)]
     for b in reversed(back):
         path.append(b[path[-1]])
-    return path[::-1], numbers, titled
+    return path[::-1]
+
+
+def fit(examples: list[tuple[list[list[int]], list[int]]]) -> tuple:
+    """Weights of the conditional model from (features of lines, labels of lines): most likely ones under the prior, by gradient ascent on whole rows of labels."""
+    weights, pairs = (np.array(x) for x in PRIOR)
+    if not examples:
+        return PRIOR
+    groups: dict[int, list] = {}
+    for seen, labels in examples:
+        groups.setdefault(len(seen), []).append((seen, labels))
+    data = []
+    for n, rows in sorted(groups.items()):
+        x = np.zeros((len(rows), n, len(FEATURES)))
+        for r, (seen, _) in enumerate(rows):
+            for k, on in enumerate(seen):
+                x[r, k, on] = 1
+        data.append((x, np.eye(3)[np.array([labels for _, labels in rows])]))
+    moved = [np.zeros_like(weights), np.zeros_like(pairs)]
+    sized = [np.zeros_like(weights), np.zeros_like(pairs)]
+    total = sum(len(labels) for _, labels in examples)
+    w, p = weights.copy(), pairs.copy()
+    top = lambda a, axis: a.max(axis, keepdims=True)
+    total_of = lambda a, axis: (np.log(np.exp(a - top(a, axis)).sum(axis, keepdims=True)) + top(a, axis)).squeeze(axis)
+    for step in range(1, ROUNDS + 1):
+        grad = [HOLD * (weights - w), HOLD * (pairs - p)]
+        for x, y in data:
+            e = x @ w
+            ahead, behind = [e[:, 0]], [np.zeros_like(e[:, 0])]
+            for k in range(1, e.shape[1]):
+                ahead.append(e[:, k] + total_of(ahead[-1][:, :, None] + p, 1))
+            for k in range(e.shape[1] - 1, 0, -1):
+                behind.append(total_of(p + (e[:, k] + behind[-1])[:, None, :], 2))
+            behind.reverse()
+            whole = total_of(ahead[-1], 1)[:, None]
+            share = np.stack([np.exp(a + b - whole) for a, b in zip(ahead, behind)], 1)
+            grad[0] += np.einsum("rkf,rks->fs", x, y - share)
+            for k in range(1, e.shape[1]):
+                both = np.exp(ahead[k - 1][:, :, None] + p + (e[:, k] + behind[k])[:, None, :] - whole[:, :, None])
+                grad[1] += np.einsum("rs,rt->st", y[:, k - 1], y[:, k]) - both.sum(0)
+        for value, g, m, v in zip((w, p), grad, moved, sized):
+            g /= total
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            value += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    return tuple(map(tuple, w.round(4).tolist())), tuple(map(tuple, p.round(4).tolist()))
+
+
+def labelled(rows: list[tuple]) -> list[tuple[list[list[int]], list[int]]]:
+    """Examples from (document, page_no, text, title, chapter) rows: records of whose lines every label is certain.
+
+    A line is a header if it prints a number that runs with the sheets of its book, or repeats a title whole. A record with a line
+    that only might be one (a number out of the run, a damaged title) is left out. A body line that ends the record, or
+    ends short after a sentence mark, is a break.
+    """
+    read_, votes = [], {}
+    for doc, page, text, title, chapter in rows:
+        titles = tuple(folded(t) for t in (title, chapter) if t)
+        lines = [x for x in _BREAKS.split(text or "") if x.strip()]
+        seen, numbers, titled = observed(lines, titles)
+        read_.append((doc, page, titles, lines, seen, numbers, titled))
+        if page is not None:
+            votes.setdefault(doc, Counter()).update(n - page for found in numbers for n in found)
+    run = {d: c.most_common(1)[0] for d, c in votes.items() if c}
+    out = []
+    for doc, page, titles, lines, seen, numbers, titled in read_:
+        labels = []
+        for k, line in enumerate(lines):
+            places = [n - page - run[doc][0] for n in numbers[k]] if page is not None and doc in run and run[doc][1] > 2 else []
+            if any(p in (0, 1) for p in places) or titled[k] and any(folded(rest) in titles for rest, _ in _heads(line.strip())):
+                labels.append(HEADER)
+            elif numbers[k] or titled[k]:
+                break
+            else:
+                on = [FEATURES[f] for f in seen[k]]
+                labels.append(BREAK if "last" in on or "short" in on and "stopped" in on else BODY)
+        if lines and len(labels) == len(lines):
+            out.append((seen, labels))
+    return out
+
+
+def fitted_model(records: DataFrame) -> tuple:
+    """The line model of these records, from at most ``SAMPLE_RECORDS`` of them in at most ``SAMPLE_BOOKS`` books, both chosen by hash; longer texts than ``SAMPLE_CHARS`` are not chosen."""
+    usable = records.where(F.length("text").between(1, SAMPLE_CHARS) & F.col("record_id").isNotNull() & F.col("document_id").isNotNull())
+    books = usable.groupBy("document_id").count().orderBy(F.xxhash64("document_id"), "document_id").limit(SAMPLE_BOOKS).collect()
+    if not books:
+        return PRIOR
+    share = F.coalesce(*[F.when(F.col("document_id") == b.document_id, F.lit(min(1.0, SAMPLE_RECORDS / len(books) / b["count"]))) for b in books], F.lit(0.0))
+    chosen = usable.where(F.pmod(F.xxhash64("record_id"), F.lit(1_000_000)) < share * 1_000_000)
+    rows = chosen.orderBy(F.xxhash64("record_id"), "record_id", "text").limit(SAMPLE_RECORDS).select("document_id", "page_no", "text", "title", "chapter").collect()
+    return fit(labelled([tuple(r) for r in rows]))
 
 
+_STOPPED = re.compile(r"[.!?…:»”)\]。！？]$")
 _BREAKS = re.compile(r"[\n\r\v\f\x85\u2028\u2029]")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:[-‐][^\W\d_]+)+")
 
 
-def read(text: str, title: str | None, chapter: str | None) -> tuple[bool, list[int], list[tuple[str, str, str]], str, list[str], list[str]]:
+def read(text: str, title: str | None, chapter: str | None, model: tuple = PRIOR) -> tuple[bool, list[int], list[tuple[str, str, str]], str, list[str], list[str]]:
     """(has a running head, page numbers, words cut at line ends as (first half, mark, second half), running text, its whole words, its joined words).
 
     A word cut at the end of the text has '' for its second half. In the running text cut words are joined and lines
@@ -140,7 +246,8 @@ def read(text: str, title: str | None, chapter: str | None) -> tuple[bool, list[
     """
     titles = tuple(folded(t) for t in (title, chapter) if t)
     lines = [x for x in _BREAKS.split(text) if x.strip()]
-    labels, numbers, titled = label(lines, titles)
+    seen, numbers, titled = observed(lines, titles)
+    labels = decode(seen, model)
     body = [k for k, s in enumerate(labels) if s != HEADER]
     furniture = [k for k, s in enumerate(labels) if s == HEADER]
     cuts, out, whole, skip = [], [], [], ""
@@ -227,10 +334,10 @@ def repaired(text: str, fixes: list[dict]) -> str:
 
 RECORDS = "record_id string, document_id string, ordinal int, kind string, page_no int, chapter string, text string, title string, lang string"
 _READ = """record_id string, document_id string, source string, ordinal int, lang string, page_no int, own boolean, chapter string, header boolean, pages array<int>,
-cuts array<struct<a:string,mark:string,b:string>>, first string, words array<string>, joined array<string>, compounds array<string>, running string"""
+cuts array<struct<a:string,mark:string,b:string>>, first string, tail string, words array<string>, joined array<string>, compounds array<string>, running string"""
 
 
-def read_records(records: DataFrame, with_text: bool = False) -> DataFrame:
+def read_records(records: DataFrame, model: tuple, with_text: bool = False) -> DataFrame:
     """The labelled content of every record (``RECORDS`` and a column ``source`` that names its table), one row each.
 
     Null and empty texts have neither noise nor words. The columns are those of ``_READ``.
@@ -240,9 +347,9 @@ def read_records(records: DataFrame, with_text: bool = False) -> DataFrame:
     def make():
         def work(*columns):
             for record, doc, source, ordinal, kind, page, chapter, text, title, lang in zip(*columns):
-                header, pages, cuts, running, whole, joined = read(text or "", title, chapter)
+                header, pages, cuts, running, whole, joined = read(text or "", title, chapter, model)
                 first = _TOKEN.search(running)
-                yield (record, doc, source, ordinal, lang, page, bool(text) and text == chapter, chapter, header, sorted(set(pages)), [{"a": a, "mark": m, "b": b} for a, m, b in cuts], first[0].lower() if first else None,
+                yield (record, doc, source, ordinal, lang, page, bool(text) and text == chapter, chapter, header, sorted(set(pages)), [{"a": a, "mark": m, "b": b} for a, m, b in cuts], first[0].lower() if first else None, cuts[-1][0].lower() if cuts and not cuts[-1][2] else None,
                        list({w.lower() for w in whole}), list({w.lower() for w in joined}), list({c.lower().replace("‐", "-") for c in _COMPOUND.findall(running)}) if "-" in running or "‐" in running else [], running if with_text else None)
 
         return work
@@ -253,11 +360,14 @@ def read_records(records: DataFrame, with_text: bool = False) -> DataFrame:
 def misread_words(read_: DataFrame) -> DataFrame:
     """(lang, word, right): words that show misread characters, and their likely reading where one is common enough.
 
-    Words are counted over all records; a reading must occur ``COMMON`` times and ``TIMES`` as often as the word.
+    Words are counted over all records; a reading must occur ``COMMON`` times and ``TIMES`` as often as the word (``SHORT_TIMES`` for
+    words of at most ``SHORT`` letters). Words of one letter have no misreading. A reading is at most one letter longer or shorter
+    than its word, so only words longer than every common word by more than that are not tried.
     """
-    counts = read_.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").count()
+    counts = cut_lineage(read_.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").count())
+    longest = (counts.where(F.col("count") >= COMMON).agg(F.max(F.length("word"))).first()[0] or 0) + 1
     joined = read_.select("lang", F.explode("joined").alias("word")).distinct().select("lang", "word", F.lit(1).cast("bigint").alias("count"))
-    words = counts.unionByName(joined).groupBy("lang", "word").agg(F.max("count").alias("n")).where(F.length("word").between(3, 40))
+    words = counts.unionByName(joined).groupBy("lang", "word").agg(F.max("count").alias("n")).where(F.length("word").between(2, max(longest, 4)))
 
     def make():
         def work(langs, ws, ns):
@@ -270,7 +380,7 @@ def misread_words(read_: DataFrame) -> DataFrame:
                         for r in readings(w):
                             if not any(c.isdigit() for c in r):
                                 yield lang, w, n, r, None
-                elif len(w) >= 4:
+                else:
                     for r in readings(w):
                         yield lang, w, n, r, None
 
@@ -278,7 +388,7 @@ def misread_words(read_: DataFrame) -> DataFrame:
 
     tried = map_batches(words, make, "lang string, word string, n bigint, reading string, year string")
     common = counts.where(F.col("count") >= COMMON).select(F.col("lang").alias("lang_"), F.col("word").alias("reading_"), F.col("count").alias("m"))
-    hits = tried.join(common, F.col("lang").eqNullSafe(F.col("lang_")) & (F.col("reading") == F.col("reading_")), "left").where(F.col("reading").isNull() | (F.col("m") >= TIMES * F.col("n")))
+    hits = tried.join(common, F.col("lang").eqNullSafe(F.col("lang_")) & (F.col("reading") == F.col("reading_")), "left").where(F.col("reading").isNull() | (F.col("m") >= F.when(F.length("word") > SHORT, TIMES).otherwise(SHORT_TIMES) * F.col("n")))
     return hits.groupBy("lang", "word").agg(F.coalesce(F.max("year"), F.max_by("reading_", F.struct("m", "reading_"))).alias("right"))
 
 
@@ -287,9 +397,15 @@ def _compounds(read_: DataFrame) -> DataFrame:
     return read_.select("lang", F.explode("compounds").alias("compound")).groupBy("lang", "compound").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _with_next(read_: DataFrame) -> DataFrame:
+    """What cut words need of each record, with ``next``: the first word of the next record of its book that has any."""
+    narrow = read_.select("record_id", "source", "document_id", "ordinal", "lang", "cuts", "first", "tail")
+    return following(narrow, ["source", "document_id"], ["ordinal", "record_id"], "first", "next")
+
+
 def cut_words(read_: DataFrame) -> DataFrame:
     """(record_id, source) of records in which a word is cut, by a mark that isn't the word's own hyphen."""
-    follows = read_.withColumn("next", F.expr("lead(first, 1) IGNORE NULLS OVER (PARTITION BY source, document_id ORDER BY ordinal, record_id)"))
+    follows = _with_next(read_)
     cuts = follows.where(F.size("cuts") > 0).select("record_id", "source", "lang", "next", F.explode("cuts").alias("c"))
     cuts = cuts.select("record_id", "source", "lang", "c.mark", F.lower(F.concat_ws("-", F.translate("c.a", "‐", "-"), F.when(F.col("c.b") == "", F.col("next")).otherwise(F.col("c.b")))).alias("compound"))
     sure = cuts.where(~F.col("mark").isin("-", "‐")).select("record_id", "source")
@@ -310,9 +426,10 @@ def found_noise(records: DataFrame) -> DataFrame:
     Null ids are left out; repeated rows count once. A heading that stands first among the records of its chapter and
     equals the chapter's title is in its own place.
     """
-    read_ = cut_lineage(read_records(records.where(F.col("record_id").isNotNull())))
+    records = records.where(F.col("record_id").isNotNull())
+    read_ = cut_lineage(read_records(records, fitted_model(records)))
     hyphen = cut_words(read_).select("record_id", F.lit("hyphen").alias("noise"))
-    wrong = misread_words(read_).select("lang", "word")
+    wrong = cut_lineage(misread_words(read_).select("lang", "word"))
     used = read_.select("record_id", "lang", F.explode(F.concat("words", "joined")).alias("word"))
     misread = used.join(small(wrong), ["lang", "word"], "left_semi").select("record_id", F.lit("misread").alias("noise"))
     places = read_.where("own").groupBy("source", "document_id", "chapter").agg(F.min_by("record_id", F.struct("ordinal", "record_id")).alias("record_id"), F.lit(True).alias("in_place"))
@@ -328,24 +445,38 @@ def paragraphs(records: DataFrame) -> DataFrame:
     A record without end of sentence goes on in the next one that begins in lower case; line breaks inside a record that end a
     paragraph stay as line breaks. Records with null document go into one book without name.
     """
-    read_ = cut_lineage(read_records(records, with_text=True))
-    right = misread_words(read_).where("right IS NOT NULL")
+    read_ = cut_lineage(read_records(records, fitted_model(records), with_text=True))
+    right = cut_lineage(misread_words(read_).where("right IS NOT NULL"))
+    compounds = cut_lineage(_compounds(read_))
     used = read_.select("record_id", "source", "lang", F.explode(F.concat("words", "joined")).alias("word"))
-    kept = small(_compounds(read_).groupBy("lang", F.replace("compound", F.lit("-"), F.lit("")).alias("word")).agg(F.max_by("compound", F.struct("n", "compound")).alias("right")))
+    kept = small(cut_lineage(compounds.groupBy("lang", F.replace("compound", F.lit("-"), F.lit("")).alias("word")).agg(F.max_by("compound", F.struct("n", "compound")).alias("right"))))
     own_hyphen = read_.select("record_id", "source", "lang", F.explode("joined").alias("word")).join(kept, ["lang", "word"])
     fixes = used.join(small(right), ["lang", "word"]).unionByName(own_hyphen).groupBy("record_id", "source").agg(F.sort_array(F.collect_set(F.struct("word", "right"))).alias("fixes"))
-    fixed = read_.where("running <> ''").join(fixes, ["record_id", "source"], "left").select("source", "document_id", "ordinal", "record_id", "running", "fixes")
+    # A word cut at the end of a record keeps its hyphen where the two halves are known as a compound.
+    ends = _with_next(read_.where("running <> ''")).where("tail IS NOT NULL AND next IS NOT NULL").select("record_id", "source", "lang", F.concat_ws("-", F.translate("tail", "‐", "-"), "next").alias("compound"))
+    stays = ends.join(small(compounds.select("lang", "compound")), ["lang", "compound"], "left_semi").select("record_id", "source", F.lit(True).alias("stays"))
+    at = ["record_id", "source"]
+    fixed = read_.where("running <> ''").select(*at, "document_id", "ordinal", "running").join(fixes, at, "left").join(stays, at, "left").select("source", "document_id", "ordinal", "record_id", "running", "fixes", "stays")
 
     def make():
         def work(*columns):
-            for *place, running, wrong in zip(*columns):
-                yield (*place, repaired(running, wrong) if wrong else running)
+            for *place, running, wrong, stays_ in zip(*columns):
+                text = repaired(running, wrong) if wrong else running
+                cut = _CUT.search(text)
+                keep = cut.end(1) if cut and not stays_ else len(text)
+                yield (*place, text[:keep], text[keep:], not cut and not _STOPPED.search(text), bool(cut), text[:1].islower())
 
         return work
 
-    lines = map_batches(fixed, make, "source string, document_id string, ordinal int, record_id string, running string").withColumn("before", F.expr("lag(running) OVER (PARTITION BY source, document_id ORDER BY ordinal, record_id)"))
-    goes_on = F.col("before").rlike(r"[\p{L}][-‐\u00AD¬]$") | (~F.col("before").rlike(r"[.!?…:»”)\]。！？]$") & F.col("running").rlike(r"^\p{Ll}"))
-    numbered = lines.withColumn("starts", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("paragraph_no", F.expr("sum(starts) OVER (PARTITION BY source, document_id ORDER BY ordinal, record_id ROWS UNBOUNDED PRECEDING)"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "record_id", "running"))), lambda r: r["running"]), "\u0001")
-    text = F.regexp_replace(F.regexp_replace(joined, r"(?<=\p{L})[-‐\u00AD¬]\u0001", ""), "\u0001", " ")
-    return numbered.groupBy("source", "document_id", "paragraph_no").agg(text.alias("text"))
+    lines = map_batches(fixed, make, "source string, document_id string, ordinal int, record_id string, running string, mark string, open boolean, cut boolean, small boolean")
+    lines = cut_lineage(lines.withColumn("row", F.monotonically_increasing_id()))
+    keys, order = ["source", "document_id"], ["ordinal", "record_id"]
+    # The texts take no part in the windows.
+    placed = previous(lines.drop("running", "mark"), keys, order, F.struct("open", "cut"), "before")
+    goes_on = F.coalesce(F.col("before.cut") | (F.col("before.open") & F.col("small")), F.lit(False))
+    numbered = running_sum(placed, keys, order, F.when(goes_on, 0).otherwise(1), "paragraph_no").select("row", "paragraph_no")
+    pieces = F.sort_array(F.collect_list(F.struct("ordinal", "record_id", "row", "running", "mark", F.when(F.col("cut"), "").otherwise(" ").alias("gap"))))
+    whole = lines.join(numbered, "row").groupBy("source", "document_id", "paragraph_no").agg(pieces.alias("pieces"))
+    last = F.size("pieces") - 1
+    text = F.array_join(F.transform("pieces", lambda r, k: F.concat(r["running"], F.when(k == last, r["mark"]).otherwise(r["gap"]))), "")
+    return whole.select("source", "document_id", "paragraph_no", text.alias("text"))

@@ -71,6 +71,30 @@ def test_paragraphs_with_capitals(spark):
     assert "Between them, Identität. In 1837 and 1910 a Well-known house." in {r.text for r in S.paragraphs(spark.createDataFrame(rows, SCHEMA)).collect()}
 
 
+def test_short_words_compounds_over_records_and_years(spark):
+    rows = [(f"p{n}", "d", "segment", n, "paragraph", None, None, "The well-known house and the garden in a wood.", None, "en") for n in range(30)]
+    rows += [("a", "d", "segment", 60, "paragraph", None, None, "Tbe house stood in l9O4 here aud was well-", None, "en"), ("b", "d", "segment", 61, "paragraph", None, None, "known, it was a cot-", None, "en"),
+             ("c", "d", "segment", 9000, "paragraph", None, None, "tage. And an end-", None, "en")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    texts = {r.text for r in S.paragraphs(df).collect()}
+    assert "The house stood in 1904 here and was well-known, it was a cottage. And an end-" in texts
+    assert {tuple(r) for r in S.found_noise(df).collect()} == {("a", "misread"), ("b", "hyphen"), ("c", "hyphen")}
+
+
+def test_model_is_fitted_to_the_texts(spark):
+    rows = [(f"p{n}", "d", "segment", n, "paragraph", 11 + n, CHAPTER, f"A sentence of the text.\nAnd one more\n{13 + n}  THE CURRENCY OF GORRUDMOR", TITLE, "en") for n in range(40)]
+    weights, pairs = S.fitted_model(spark.createDataFrame(rows, SCHEMA))
+    title = weights[S.FEATURES.index("title")]
+    assert title != S.PRIOR[0][0] and title[S.HEADER] > max(title[1:])
+    assert S.decode(S.observed(["Text of the record that goes on.", "THE CURRENCY 0F G0RR"], (S.folded(TITLE),))[0], (weights, pairs))[1] == S.HEADER
+    assert S.fit([]) == S.PRIOR and S.fitted_model(spark.createDataFrame([], SCHEMA)) == S.PRIOR
+
+
+def test_short_titles_match_whole():
+    own = (S.folded("Ich"),)
+    assert S.like_title("Ich", own) and not S.like_title("Ic", own) and not S.like_title("ich gehe heute", own)
+
+
 def test_long_text(spark):
     rows = [("x", "d", "block", 1, "paragraph", 1, None, "words and words that go on\n" * 20000, None, "en")]
     assert S.found_noise(spark.createDataFrame(rows, SCHEMA)).count() == 0
