@@ -18,9 +18,14 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_reparameterised(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with the wording of test items about other names or figures."""
+    """Documents with the wording of test items about other names or figures, by class of items."""
     return leaks.reparameterised_items(*_tables(spark, folder))
 
 
-QUERIES = {"p7_found": p7_found, "p7_reparameterised": p7_reparameterised}
+def p7_item_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of every test item: items that differ only by names and figures."""
+    return leaks.item_classes(_tables(spark, folder)[1])
+
+
+QUERIES = {"p7_found": p7_found, "p7_item_classes": p7_item_classes, "p7_reparameterised": p7_reparameterised}
 ORACLE: dict[str, str] = {}
