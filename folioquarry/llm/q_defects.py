@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioquarry.llm import defects
+from folioquarry.session import small
 from folioquarry.sources.tables import table
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    books = table(spark, folder, "book_documents", "id", "source_format", "source_lang", "target_lang").withColumnRenamed("id", "document_id")
+    books = small(table(spark, folder, "book_documents", F.col("id").alias("document_id"), "source_format", "source_lang", "target_lang"))
     segments = table(spark, folder, "segments", "id", "document_id", "kind", "source_text", "machine_translation", "status").where("status <> 'source'")
-    several_lines = (F.col("source_format") == "md") & F.col("source_text").rlike(r"\S\s*\n\s*\S")
+    several_lines = (F.col("source_format") == "md") & F.btrim("source_text", F.lit(" \t\r\n")).contains("\n")
     return segments.join(books, "document_id").where(~F.coalesce(several_lines, F.lit(False)))
 
 
