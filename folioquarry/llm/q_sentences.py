@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioquarry.llm.sentences import split_sentences
+from folioquarry.session import small
 from folioquarry.sources.tables import table
 
 
@@ -13,7 +14,7 @@ def _texts(spark: SparkSession, folder: str, formats: tuple[str, ...] | None) ->
     books = table(spark, folder, "book_documents", "id", "source_lang", "source_format").withColumnRenamed("id", "document_id")
     if formats:
         books = books.where(F.col("source_format").isin(*formats))
-    segments = table(spark, folder, "segments", "id", "document_id", "kind", "source_text").join(books, "document_id")
+    segments = table(spark, folder, "segments", "id", "document_id", "kind", "source_text").join(small(books), "document_id")
     occurrences = table(spark, folder, "term_occurrences", "occurrence_id", "segment_id", "sentence")
     stored = occurrences.join(segments.select(F.col("id").alias("segment_id"), "kind", "source_lang"), "segment_id")
     return segments.select("id", F.col("source_text").alias("text"), "source_lang", "kind").unionByName(
