@@ -20,7 +20,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of lines of the md books that translate each other."""
     pairs = _pairs(spark, folder)
     models = alignment.trained_models(pairs)
-    several = pairs.where(F.col("format") == "md").where(F.col("s").rlike(r"\S[^\n]*\n\s*\S"))
+    several = pairs.where(F.col("format") == "md").where(F.btrim("s", F.lit(" \t\r\n")).contains("\n"))
     return alignment.aligned_lines(several, models).select(F.col("record_id").alias("segment_id"), "source_no", "target_no").distinct()
 
 
