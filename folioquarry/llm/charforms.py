@@ -253,10 +253,11 @@ def look_alike_pairs(df: DataFrame, record: str, scope: list[str], column: str)
 
 
 @cache
-def _python_tables() -> tuple[dict[int, str], dict[int, str], re.Pattern]:
-    """For str.translate: parts, and parts with look-alikes replaced; and what keeps a word in its script."""
+def _python_tables() -> tuple[dict[int, str], dict[int, str], frozenset[str], frozenset[str]]:
+    """For str.translate: parts, and parts with look-alikes replaced, without what composition only puts back; what keeps a word in its script; all that is mapped."""
     rows = [r for r in code_points() if r[0] not in "‌‍"]
-    return {ord(r[0]): r[1] for r in rows}, {ord(r[0]): r[2] for r in rows}, re.compile("[" + "".join(r[0] for r in rows if r[3]) + "]")
+    parts, looks = ({ord(r[0]): r[k] for r in rows if unicodedata.normalize("NFC", r[k]) != r[0]} for k in (1, 2))
+    return parts, looks, frozenset(r[0] for r in rows if r[3]), frozenset(map(chr, looks))
 
 
 _JOINERS = re.compile("[‌‍]+")
@@ -267,11 +268,11 @@ def consistent(text: str) -> str:
     """The same form in plain Python, for texts already in an Arrow function (and to test the operator against)."""
     if text.isascii():
         return text
-    parts, looks, foreign = _python_tables()
+    parts, looks, foreign, mapped = _python_tables()
     if "\u200c" in text or "\u200d" in text:
         text = _JOINERS.sub(lambda j: j[0] if j.start() and unicodedata.combining(text[j.start() - 1]) == 9 else "", text)
-    if foreign.search(text):
-        text = _WORDS.sub(lambda m: m[0].translate(parts if foreign.search(m[0]) else looks), text).translate(parts)
-    else:
+    if not foreign.isdisjoint(text):
+        text = _WORDS.sub(lambda m: m[0].translate(looks if foreign.isdisjoint(m[0]) else parts), text).translate(parts)
+    elif not mapped.isdisjoint(text):
         text = text.translate(looks)
     return unicodedata.normalize("NFC", text)
