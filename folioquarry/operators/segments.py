@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioquarry.functions import text as X
+from folioquarry.functions.arrow import map_batches
+from folioquarry.operators import ordered
+from folioquarry.session import cut_lineage
 
 
 def scan_blocks(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -34,14 +37,34 @@ def stable_keys(segments: DataFrame) -> DataFrame:
 
 def dense_order(segments: DataFrame) -> DataFrame:
     """(id, position): ordinals without gaps."""
-    return segments.select("id", (F.row_number().over(Window.partitionBy("document_id").orderBy("ordinal", "id")) - 1).cast("bigint").alias("position"))
+    rows = ordered.running_sum(segments.select("id", "document_id", "ordinal"), ["document_id"], ["ordinal", "id"], F.lit(1), "n")
+    return rows.select("id", (F.col("n") - 1).cast("bigint").alias("position"))
 
 
 def filled_heading(segments: DataFrame) -> DataFrame:
     """(id, heading): the heading that each segment stands under, itself included; '' before the first."""
-    here = F.when(F.col("kind") == "heading", F.col("source_text"))
-    order = Window.partitionBy("document_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    return segments.select("id", F.coalesce(F.last(here, ignorenulls=True).over(order), F.lit("")).alias("heading"))
+    rows = segments.select("id", "document_id", "ordinal", F.when(F.col("kind") == "heading", F.col("source_text")).alias("own"))
+    return ordered.filled(rows, ["document_id"], ["ordinal"], F.col("own"), "heading").select("id", F.coalesce("heading", F.lit("")).alias("heading"))
+
+
+def _folded(df: DataFrame, key: str, order: list[str], schema: str, start: Callable[[], object], step: Callable[..., tuple]) -> DataFrame:
+    """One pass over the rows of every group in order: ``step(state, *columns after the key)`` gives the new state and an output row.
+
+    Rows are sorted by Spark (which spills), and a task holds one batch and one state, however large a group is.
+    """
+    def make():
+        held = [None, None]
+
+        def work(keys, *columns):
+            for k, *row in zip(keys, *columns):
+                if held[1] is None or k != held[0]:
+                    held[:] = k, start()
+                held[1], out = step(held[1], *row)
+                yield (k, *out)
+
+        return work
+
+    return map_batches(df.repartition(F.col(key)).sortWithinPartitions(key, *order), make, schema)
 
 
 def heading_paths(blocks: DataFrame) -> DataFrame:
@@ -50,30 +73,31 @@ def heading_paths(blocks: DataFrame) -> DataFrame:
     A title at level n replaces what stands at position n and below of the stack; where levels were skipped the stack is
     shorter than the level says, and a title of the same level then goes below its predecessor.
     """
-    heads = blocks.where("kind = 'heading'").select("doc_id", F.struct("block_no", F.length(F.regexp_extract("text", r"^#+", 0)).alias("level"), F.regexp_replace("text", r"^#+ +", "").alias("title")).alias("h"))
-    stacks = "array<struct<block_no:bigint,path:array<string>>>"
-    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1))["path"], F.array().cast("array<string>"))
-    fold = F.aggregate(F.sort_array(F.collect_list("h")), F.array().cast(stacks),
-                       lambda a, h: F.concat(a, F.array(F.struct(h["block_no"].alias("block_no"), F.concat(F.slice(last(a), F.lit(1), h["level"] - 1), F.array(h["title"])).alias("path")))))
-    return heads.groupBy("doc_id").agg(fold.alias("s")).select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.block_no", F.array_join("s.path", " / ").alias("path"))
+    heads = blocks.where("kind = 'heading'").select("doc_id", "block_no", F.length(F.regexp_extract("text", r"^#+", 0)).alias("level"), F.regexp_replace("text", r"^#+ +", "").alias("title"))
 
+    def step(stack, block_no, level, title):
+        stack = [*stack[: level - 1], title]
+        return stack, (block_no, " / ".join(stack))
 
-def capacity_groups(segments: DataFrame, most: int, most_chars: int, new_group: Column | None = None) -> DataFrame:
-    """(id, group_no): runs of segments of a book that hold at most ``most`` segments and ``most_chars`` characters.
+    return _folded(heads, "doc_id", ["block_no"], f"doc_id {blocks.schema['doc_id'].dataType.simpleString()}, block_no bigint, path string", list, step)
 
-    A segment that would exceed a limit opens a group, as does one where ``new_group`` is true. The fold runs over the
-    lengths of a book in order, never over its texts.
+
+def capacity_groups(segments: DataFrame, most: int, most_chars: int, new_group: Column | None = None, chars: Column | None = None) -> DataFrame:
+    """(document_id, id, group_no): runs of segments of a book that hold at most ``most`` segments and ``most_chars`` characters.
+
+    A segment that would exceed a limit opens a group, as does one where ``new_group`` is true. ``chars`` is the size of a
+    segment, the length of its source unless given. The fold runs over sizes, never over texts.
     """
-    item = F.struct("ordinal", "id", F.coalesce(F.length("source_text"), F.lit(0)).alias("n"), F.coalesce(new_group, F.lit(False)).alias("cut") if new_group is not None else F.lit(False).alias("cut"))
-    start = F.struct(F.lit(-1).alias("g"), F.lit(0).alias("k"), F.lit(0).alias("c"), F.array().cast("array<struct<id:string,g:int>>").alias("out"))
+    size = F.coalesce(F.length("source_text"), F.lit(0)) if chars is None else chars
+    rows = segments.select("document_id", "ordinal", "id", size.cast("bigint").alias("n"), F.coalesce(F.lit(False) if new_group is None else new_group, F.lit(False)).alias("cut"))
 
-    def step(a: Column, x: Column) -> Column:
-        fresh = (a["g"] < 0) | x["cut"] | (a["k"] >= most) | (a["c"] + x["n"] > most_chars)
-        g = F.when(fresh, a["g"] + 1).otherwise(a["g"])
-        return F.struct(g.alias("g"), F.when(fresh, 1).otherwise(a["k"] + 1).alias("k"), F.when(fresh, x["n"]).otherwise(a["c"] + x["n"]).alias("c"), F.concat(a["out"], F.array(F.struct(x["id"].alias("id"), g.alias("g")))).alias("out"))
+    def step(state, _, i, n, cut):
+        group, held, total = state
+        if group < 0 or cut or held >= most or total + n > most_chars:
+            group, held, total = group + 1, 0, 0
+        return (group, held + 1, total + n), (i, group)
 
-    folded = segments.select("document_id", item.alias("x")).groupBy("document_id").agg(F.aggregate(F.sort_array(F.collect_list("x")), start, step)["out"].alias("out"))
-    return folded.select("document_id", F.explode("out").alias("o")).select("document_id", "o.id", F.col("o.g").cast("bigint").alias("group_no"))
+    return _folded(rows, "document_id", ["ordinal", "id"], "document_id string, id string, group_no bigint", lambda: (-1, 0, 0), step)
 
 
 def neighbours(segments: DataFrame, radius: int) -> DataFrame:
@@ -114,6 +138,26 @@ def chapter_ranges(segments: DataFrame) -> DataFrame:
                                                   F.coalesce(F.lead("ordinal").over(order) - 1, F.col("end")).cast("bigint").alias("last_ordinal"), "title")
 
 
+def connected(links: DataFrame, scope: list[str], group: str, member: str) -> DataFrame:
+    """(scope, member, component): the least member that each is connected with through groups, by rounds until nothing changes.
+
+    Each round takes the least component within each group and then for each member, so no pairs are made within a group; a
+    round follows the jumps of the one before, and its table is written, so that lineage stays short.
+    """
+    at = [*scope, member]
+    links = cut_lineage(links.select(*scope, group, member).distinct())
+    own = links.select(*at).distinct().withColumn("component", F.col(member))
+    while True:
+        own = cut_lineage(own)
+        least = links.join(own, at).groupBy(*scope, group).agg(F.min("component").alias("c"))
+        reached = links.join(least, [*scope, group]).groupBy(*at).agg(F.min("c").alias("c"))
+        jump = own.select(*scope, F.col(member).alias("c"), F.col("component").alias("further"))
+        moved = cut_lineage(own.join(reached, at).join(jump, [*scope, "c"], "left").select(*at, "component", F.least("c", "further").alias("new")))
+        if moved.where("new < component").isEmpty():
+            return own
+        own = moved.select(*at, F.col("new").alias("component"))
+
+
 def bag_alignment(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """(left_id, right_id): the n-th left row of each key with its n-th right row, for frames with id, ordinal and ``keys``; rows left over have null."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("ordinal", "id"))

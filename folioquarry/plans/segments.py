@@ -26,11 +26,14 @@ def s2_stable_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def s15_repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of documents without those that, figures masked, occur at least three times in the corpus."""
-    lines = table(spark, folder, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where("trim(line) <> ''")
-    masked = lines.withColumn("mask", F.regexp_replace(F.lower(F.trim("line")), "[0-9]+", "#"))
-    common = masked.groupBy("mask").count().where("count >= 3").select("mask")
-    return masked.join(common, "mask", "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
+    """Lines of documents without those that, figures and Roman numerals masked, stand in at least three documents and in 1.5 % of all; documents without any line left count 0."""
+    documents = table(spark, folder, "documents", "doc_id", "text")
+    lines = documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
+    masked = lines.withColumn("mask", F.regexp_replace(F.lower(F.trim("line")), "[0-9]+|\\b[ivxlcdm]+\\b", "#"))
+    total = documents.agg(F.greatest(F.lit(3.0), 0.015 * F.count_distinct("doc_id")).alias("least"))
+    common = masked.groupBy("mask").agg(F.count_distinct("doc_id").alias("n")).join(F.broadcast(total)).where("n >= least").select("mask")  # the total is one row
+    kept = masked.join(common, "mask", "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
+    return documents.select("doc_id").join(kept, "doc_id", "left").fillna(0, ["lines", "chars"])
 
 
 def s17_page_offsets(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,14 +134,10 @@ def j27_chapters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j22_connected_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Runs of sheets of a book that segments connect: a segment's blocks may stand on several sheets."""
+    """The sheets of each book by what connects them: sheets that a segment's blocks stand on belong together, and so do those that share a sheet."""
     refs = table(spark, folder, "segments", "id", "document_id", F.explode("source_refs").alias("block_id"))
-    pages = refs.join(table(spark, folder, "pdf_blocks", "block_id", "page_no"), "block_id")
-    spans = pages.groupBy("document_id", "id").agg(F.min("page_no").alias("a"), F.max("page_no").alias("b")).groupBy("document_id", "a").agg(F.max("b").alias("b"))
-    before = Window.partitionBy("document_id").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = spans.withColumn("cut", F.when(F.col("a") > F.coalesce(F.max("b").over(before), F.lit(-1)), 1).otherwise(0))
-    runs = cuts.withColumn("run", F.sum("cut").over(Window.partitionBy("document_id").orderBy("a").rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("document_id", "run").agg(F.min("a").cast("bigint").alias("first_page"), F.max("b").cast("bigint").alias("last_page"))
+    pages = refs.join(table(spark, folder, "pdf_blocks", "block_id", "page_no"), "block_id").select("document_id", "id", "page_no").distinct()
+    return S.connected(pages, ["document_id"], "id", "page_no").select("document_id", F.col("page_no").cast("bigint").alias("page_no"), F.col("component").cast("bigint").alias("component"))
 
 
 def a12_page_medians(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,7 +171,8 @@ def w4_filled_heading(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def w6_capacity_groups(spark: SparkSession, folder: str) -> DataFrame:
-    g = S.capacity_groups(_segments(spark, folder), 8, 3000)
+    """Groups of at most eight segments and 3,000 characters of source and visible translation."""
+    g = S.capacity_groups(_segments(spark, folder, *X.LAYERS), 8, 3000, chars=F.coalesce(F.length("source_text"), F.lit(0)) + F.length(X.visible()))
     return g.groupBy("document_id", "group_no").agg(F.count(F.lit(1)).alias("segments"), F.min("id").alias("least_id"))
 
 
@@ -217,10 +217,10 @@ _BLOCKS = r"""
                            WHEN NOT regexp_matches(text, '(^|\n)[^>]') THEN 'blockquote' ELSE 'paragraph' END AS kind, text FROM kept WHERE text <> '')"""
 
 
-def _groups(most: int, most_chars: int, cut: str, having: str) -> str:
+def _groups(most: int, most_chars: int, cut: str, having: str, size: str = "coalesce(length(source_text),0)") -> str:
     """Groups by capacity as a recursive query over the positions of each book."""
     return f"""
-    WITH RECURSIVE m AS (SELECT id, document_id, coalesce(length(source_text),0) AS n, {cut} AS cut, row_number() OVER (PARTITION BY document_id ORDER BY ordinal) AS pos FROM segments),
+    WITH RECURSIVE m AS (SELECT id, document_id, {size} AS n, {cut} AS cut, row_number() OVER (PARTITION BY document_id ORDER BY ordinal) AS pos FROM segments),
     f AS (SELECT id, document_id, pos, 0 AS g, 1 AS k, n AS c FROM m WHERE pos = 1
           UNION ALL
           SELECT m.id, m.document_id, m.pos, CASE WHEN m.cut OR f.k >= {most} OR f.c + m.n > {most_chars} THEN f.g + 1 ELSE f.g END,
@@ -235,8 +235,9 @@ ORACLE = {
     "s1_blocks": f"WITH {_BLOCKS} SELECT * FROM blocks",
     "s2_stable_keys": r"""WITH d AS (SELECT id, document_id, ordinal, sha256(concat_ws(chr(31), document_id, kind, trim(regexp_replace(lower(coalesce(source_text,'')), '[ \t\r\n\x{00A0}\x{3000}]+', ' ', 'g')))) AS digest FROM segments),
         n AS (SELECT *, row_number() OVER (PARTITION BY document_id, digest ORDER BY ordinal, id) - 1 AS repeat FROM d) SELECT id, sha256(concat_ws(chr(31), digest, CAST(repeat AS VARCHAR))) AS key, repeat FROM n""",
-    "s15_repeated_lines": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), m AS (SELECT doc_id, line, regexp_replace(lower(trim(line)), '[0-9]+', '#', 'g') AS mask FROM l WHERE trim(line) <> '')
-        SELECT doc_id, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM m WHERE mask NOT IN (SELECT mask FROM m GROUP BY mask HAVING count(*) >= 3) GROUP BY doc_id""",
+    "s15_repeated_lines": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), m AS (SELECT doc_id, line, regexp_replace(lower(trim(line)), '[0-9]+|\b[ivxlcdm]+\b', '#', 'g') AS mask FROM l WHERE trim(line) <> ''),
+        c AS (SELECT mask FROM m GROUP BY mask HAVING count(DISTINCT doc_id) >= greatest(3.0, 0.015 * (SELECT count(*) FROM documents))), k AS (SELECT doc_id, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM m WHERE mask NOT IN (SELECT mask FROM c) GROUP BY doc_id)
+        SELECT doc_id, coalesce(lines, 0) AS lines, coalesce(chars, 0) AS chars FROM documents LEFT JOIN k USING (doc_id)""",
     "s17_page_offsets": "SELECT block_id, CAST(coalesce(sum(length(block_text)+1) OVER (PARTITION BY document_id, page_no ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_offset FROM pdf_blocks",
     "k1_export": _EXPORT.format(_VISIBLE),
     "k1_export_bilingual": _EXPORT.format(f"concat_ws(chr(10)||chr(10), nullif(source_text,''), nullif({_VISIBLE},''))"),
@@ -255,10 +256,10 @@ ORACLE = {
     "j20_bag_alignment": """WITH l AS (SELECT s.id, document_id, md5(source_text) AS d, row_number() OVER (PARTITION BY document_id, md5(source_text) ORDER BY ordinal, s.id) AS n FROM segments s JOIN book_documents b ON b.id = s.document_id WHERE source_format = 'pdf'),
         r AS (SELECT block_id, document_id, md5(block_text) AS d, row_number() OVER (PARTITION BY document_id, md5(block_text) ORDER BY ordinal, block_id) AS n FROM pdf_blocks)
         SELECT l.id AS left_id, r.block_id AS right_id FROM l FULL JOIN r ON l.document_id = r.document_id AND l.d = r.d AND l.n = r.n""",
-    "j22_connected_pages": """WITH RECURSIVE p AS (SELECT s.id, s.document_id, page_no FROM (SELECT id, document_id, unnest(source_refs) AS block_id FROM segments) s JOIN pdf_blocks USING (block_id)),
-        spans AS (SELECT document_id, id, min(page_no) AS a, max(page_no) AS b FROM p GROUP BY ALL), pages AS (SELECT document_id, a AS page FROM spans UNION SELECT document_id, b FROM spans),
-        c AS (SELECT document_id, a, max(b) AS b FROM spans GROUP BY ALL), k AS (SELECT *, CASE WHEN a > coalesce(max(b) OVER (PARTITION BY document_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS cut FROM c),
-        r AS (SELECT *, sum(cut) OVER (PARTITION BY document_id ORDER BY a) AS run FROM k) SELECT document_id, CAST(run AS BIGINT) AS run, CAST(min(a) AS BIGINT) AS first_page, CAST(max(b) AS BIGINT) AS last_page FROM r GROUP BY document_id, run""",
+    "j22_connected_pages": """WITH RECURSIVE p AS (SELECT DISTINCT s.document_id, s.id, page_no FROM (SELECT id, document_id, unnest(source_refs) AS block_id FROM segments) s JOIN pdf_blocks USING (block_id)),
+        e AS (SELECT DISTINCT a.document_id, a.page_no AS x, b.page_no AS y FROM p a JOIN p b ON a.document_id = b.document_id AND a.id = b.id),
+        r AS (SELECT document_id, x, y FROM e UNION SELECT r.document_id, r.x, e.y FROM r JOIN e ON e.document_id = r.document_id AND e.x = r.y)
+        SELECT document_id, CAST(x AS BIGINT) AS page_no, CAST(min(y) AS BIGINT) AS component FROM r GROUP BY document_id, x""",
     "j26_chapter_of_block": "SELECT block_id, last_value(CASE WHEN kind = 'heading' THEN block_id END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading_id FROM pdf_blocks",
     "j27_chapters": """WITH h AS (SELECT document_id, ordinal, source_text AS title, row_number() OVER w AS chapter_no, lead(ordinal) OVER w - 1 AS l FROM segments WHERE kind = 'heading' WINDOW w AS (PARTITION BY document_id ORDER BY ordinal)),
         r AS (SELECT h.document_id, chapter_no, CAST(ordinal AS BIGINT) AS first_ordinal, CAST(coalesce(l, e) AS BIGINT) AS last_ordinal, title FROM h JOIN (SELECT document_id, max(ordinal) AS e FROM segments GROUP BY 1) USING (document_id))
@@ -268,7 +269,7 @@ ORACLE = {
     "a17_state_hash": f"SELECT document_id, sha256(string_agg(sha256({_VISIBLE}), '' ORDER BY ordinal)) AS state FROM segments GROUP BY document_id",
     "w2_dense_order": "SELECT id, row_number() OVER (PARTITION BY document_id ORDER BY ordinal, id) - 1 AS position FROM segments",
     "w4_filled_heading": "SELECT id, coalesce(last_value(CASE WHEN kind = 'heading' THEN source_text END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS heading FROM segments",
-    "w6_capacity_groups": _groups(8, 3000, "false", ""),
+    "w6_capacity_groups": _groups(8, 3000, "false", "", f"coalesce(length(source_text),0) + length({_VISIBLE})"),
     "w7_cohesion_groups": _groups(8, 6000, "(kind = 'heading' OR coalesce(lag(kind) OVER (PARTITION BY document_id ORDER BY ordinal) = 'heading', false) OR heading_path IS DISTINCT FROM lag(heading_path) OVER (PARTITION BY document_id ORDER BY ordinal))", "HAVING count(*) >= 2"),
     "w13_continuations": r"""WITH b AS (SELECT *, lag(block_text) OVER w AS p, page_no - lag(page_no) OVER w AS d FROM pdf_blocks WHERE kind = 'paragraph' WINDOW w AS (PARTITION BY document_id ORDER BY ordinal)),
         m AS (SELECT *, CASE WHEN coalesce(NOT regexp_matches(p, '[.!?…:;”»)\]]$') AND regexp_matches(block_text, '^\p{Ll}') AND d <= 1, false) THEN 0 ELSE 1 END AS starts FROM b),
