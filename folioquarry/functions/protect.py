@@ -11,6 +11,7 @@ from pyspark.sql import functions as F, types as T
 KINDS = {
     "code": r"```.*?```|`[^`\n]+`", "tag": r"</?[A-Za-z][^<>]*>", "link": r"!?\[[^\]\n]*\]\([^()\n]*\)", "url": r"https?://[^\s<>\"）)]+", "email": r"[\w.+-]+@[\w-]+\.[\w.-]+",
     "footnote": r"\[\^[^\]\s]+\]", "math": r"\$[^$\n]+\$", "variable": r"\{\{[^{}]*\}\}|\{[A-Za-z_]\w*\}|%[sd]",
+    "doi": r"(?i:\b10\.\d{4,9}/[-._;()/:A-Z0-9]+\b)", "citation": r"\([^()\n]{0,100}\b(?:1[5-9]|20)\d{2}[a-z]?[^()\n]{0,60}\)", "reference": r"\[\d{1,4}(?:\s*[-,;]\s*\d{1,4})*\]",
 }
 _TOKEN = "⟦{}⟧"
 _SPAN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()) + r"|(?P<literal>⟦\d+⟧)", re.DOTALL)

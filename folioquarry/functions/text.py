@@ -54,7 +54,7 @@ def footnote_marks(text: Column) -> Column:
 def unclosed_delimiters(text: Column) -> Column:
     """Whether any opener occurs more often than its closer."""
     count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
-    pairs = [("(", ")"), ("[", "]"), ("“", "”"), ("（", "）"), ("《", "》"), ("「", "」")]
+    pairs = [("(", ")"), ("[", "]"), ("{", "}"), ("«", "»"), ("“", "”")]
     out = F.lit(False)
     for a, b in pairs:
         out = out | (count(a) > count(b))
@@ -71,11 +71,6 @@ def truncated(text: Column, limit: int, tail: bool = False) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(cut)
 
 
-def join_lines(left: Column, right: Column) -> Column:
-    """Two lines as one: a hyphen before a small letter is taken out, else a space is put between."""
-    return F.when(left.rlike(r"[\p{L}]-$") & right.rlike(r"^[\p{Ll}]"), F.concat(F.substring(left, F.lit(1), F.length(left) - 1), right)).otherwise(F.concat_ws(" ", left, right))
-
-
 def once(value: Column) -> Column:
     """``value`` as a generated column, which is computed once a row; a projected one would be computed again at each use inside a lambda."""
     return F.explode(F.array(value))

@@ -132,7 +132,7 @@ ORACLE = {
     "q7_term_checks": f"""WITH {_SPANS} SELECT * FROM (SELECT DISTINCT c.segment_id, c.term_id, NOT contains(lower({_V}), lower(t.target)) AS missing, len(list_filter(t.forbidden_targets, lambda f: f <> '' AND contains(lower({_V}), lower(f)))) > 0 AS forbidden
         FROM classed c JOIN terms t ON t.id = c.term_id JOIN segments s ON s.id = c.segment_id WHERE class = 'enforced' AND {_FULL.format(_V)}) WHERE missing OR forbidden""",
     "q3_empty_translations": _Q3, "q4_untranslated": _Q4, "q6_footnote_mismatch": _Q6, "a19_placeholders": _A19,
-    "n19_unclosed": "SELECT id FROM segments WHERE " + " OR ".join(f"length(replace(source_text, '{a}', '')) < length(replace(source_text, '{b}', ''))" for a, b in ("()", "[]", "“”", "（）", "《》", "「」")),
+    "n19_unclosed": "SELECT id FROM segments WHERE " + " OR ".join(f"length(replace(source_text, '{a}', '')) < length(replace(source_text, '{b}', ''))" for a, b in ("()", "[]", "{}", "«»", "“”")),
     "a7_issue_queue": f"SELECT id, count(*) AS issues, string_agg(code, ',' ORDER BY code) AS codes FROM (SELECT id, 'empty' AS code FROM ({_Q3}) UNION ALL SELECT id, 'untranslated' FROM ({_Q4}) UNION ALL SELECT id, 'footnotes' FROM ({_Q6}) UNION ALL SELECT id, 'figures' FROM ({_A19})) GROUP BY id",
     "n28_truncated": "SELECT id, CASE WHEN length(source_text) <= 40 THEN source_text ELSE left(source_text, 39) || '…' END AS head, CASE WHEN length(source_text) <= 40 THEN source_text ELSE '…' || right(source_text, 39) END AS tail FROM segments WHERE source_text IS NOT NULL",
     "j18_memory_exact": rf"""WITH s AS (SELECT s.id, project_id, document_id, ordinal, source_text, {_V} AS t, trim(regexp_replace(lower(coalesce(source_text,'')), '[ \t\r\n\x{{00A0}}\x{{3000}}]+', ' ', 'g')) AS k FROM segments s JOIN book_documents b ON b.id = s.document_id)
