@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that define QUERIES (name to function) and ORACLE (name to SQL).
-MODULES = ("documents", "segments", "quality", "review", "usage", "mining", "candidates", "atoms", "streams")
+MODULES = ("documents", "segments", "quality", "review", "usage", "mining", "candidates", "atoms", "lookups", "streams")
 
 
 def _all(what: str) -> dict:
