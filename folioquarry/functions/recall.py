@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 from folioquarry.functions import glossary as G
@@ -16,6 +17,7 @@ METHODS = ("unigram", "acronym", "hyphenated", "capitalized_token", "phrase", "c
 BIT = {m: 1 << k for k, m in enumerate(METHODS)}
 LONGEST_FORM, REACH = 120, 80  # characters of a form, and of the text around it that its neighbours are looked for in
 
+_form = lru_cache(100_000)(lexeme)
 _WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
 _ACRONYM = re.compile(r"(?:[A-ZÀ-ÖØ-Þ]\.?){2,8}")
 _ROMAN = re.compile(r"[ivxlcdm]+")
@@ -55,7 +57,7 @@ def words(text: str, lang: str, stop: frozenset[str]) -> list[Word]:
         value, start = m[0], m.start()
         if lang == "fr" and (cut := _ELISION.fullmatch(value)):
             value, start = cut[1], m.end() - len(cut[1])
-        form = lexeme(value)
+        form = _form(value)
         out.append(Word(value, form, start, m.end(), is_content(form, stop), value[0].isupper() or bool(_ACRONYM.fullmatch(value))))
     return out
 
@@ -169,8 +171,8 @@ def recalled(text: str, lang: str, heading: bool) -> list[tuple[str, Found]]:
     all_words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     starts, ends = [a for a, _ in all_words], [b for _, b in all_words]
     for tokens, start, end, method in (han(text) if lang == "cjk" else western(text, lang, heading)):
-        value = text[start:end].strip()
-        key = lexeme(value)
+        value = text[start:end]
+        key = _form(value) if len(tokens) == 1 else lexeme(value)
         if key and len(value) <= LONGEST_FORM:
             places.setdefault((key, start, end), [tokens, 0])[1] |= BIT[method]
     out = []
@@ -178,9 +180,9 @@ def recalled(text: str, lang: str, heading: bool) -> list[tuple[str, Found]]:
         # Words that the window of REACH characters or the place itself cuts count with what is left of them.
         k = bisect.bisect_left(starts, start) - 1
         a, b = (max(starts[k], start - REACH), min(ends[k], start)) if k >= 0 else (0, 0)
-        left = lexeme(text[a:b]) if k >= 0 and a < b else None
+        left = _form(text[a:b]) if k >= 0 and a < b else None
         k = bisect.bisect_right(ends, end)
         a, b = (max(starts[k], end), min(ends[k], end + REACH)) if k < len(starts) else (0, 0)
-        right = lexeme(text[a:b]) if a < b else None
+        right = _form(text[a:b]) if a < b else None
         out.append((key, Found(tokens, start, end, methods, left or None, right or None)))
     return out

@@ -29,7 +29,7 @@ GERMAN_SHARES = {"core_unigram": 0.40, "derived_unigram": 0.30, "phrase": 0.05,
 CAPS = {"named_entity": 0.20, "salient_phrase": 0.20, "coordination_phrase": 0.08, "lexical_risk": 0.08}
 _LEXEME = ["scope", "family"]
 _ROWS = """scope string, profile string, family string, tokens string, key string, id string, document_id string, ordinal int, bin int, c int, methods int, caps boolean, capital int, translated boolean,
-forms array<struct<form:string,n:int,at:int>>, lefts array<string>, rights array<string>, places array<struct<start:int,end:int,form:string>>"""
+starts array<int>, values array<string>, lefts array<string>, rights array<string>"""
 
 
 def profile(lang: Column) -> Column:
@@ -56,16 +56,14 @@ def recalled(segments: DataFrame) -> DataFrame:
                 for key, found in R.recalled(text, lang, bool(heading)):
                     lexemes.setdefault(key, []).append(found)
                 for key, found in lexemes.items():
-                    forms: dict[str, list[int]] = {}
-                    methods = capital = 0
+                    values = [text[f.start : f.end] for f in found]
+                    methods = 0
                     for f in found:
-                        value = text[f.start : f.end].strip()
-                        forms.setdefault(value, [0, f.start])[0] += 1
                         methods |= f.methods
-                        capital += any(w[:1].isupper() for w in R._WORD.findall(value))
+                    capital = sum(any(w[:1].isupper() for w in R._WORD.findall(v)) for v in values)
                     family = " ".join(G.stem(t, lang) for t in found[0].tokens) if lang != "cjk" else key
-                    yield (scope, lang, family, " ".join(found[0].tokens), key, i, doc, ordinal, b, len(found), methods, all(v == v.upper() for v in forms), capital, done,
-                           [{"form": v, "n": n, "at": at} for v, (n, at) in forms.items()], [f.left for f in found if f.left], [f.right for f in found if f.right], [{"start": f.start, "end": f.end, "form": text[f.start : f.end].strip()} for f in found])
+                    yield (scope, lang, family, " ".join(found[0].tokens), key, i, doc, ordinal, b, len(found), methods, all(v == v.upper() for v in values), capital, done,
+                           [f.start for f in found], values, [f.left for f in found if f.left], [f.right for f in found if f.right])
 
         return work
 
@@ -123,7 +121,7 @@ def possible(lexemes: DataFrame) -> DataFrame:
 def described(lexemes: DataFrame, rows: DataFrame) -> DataFrame:
     """``lexemes`` with their commonest form, all forms, variety of contexts and how often a determiner stands before them."""
     own = rows.join(small(cut_lineage(lexemes.select(*_LEXEME))), _LEXEME, "left_semi")
-    forms = own.select(*_LEXEME, "document_id", "ordinal", F.explode("forms").alias("f")).groupBy(*_LEXEME, F.col("f.form").alias("form")).agg(F.sum("f.n").alias("count"), F.min(F.struct("document_id", "ordinal", "f.at")).alias("first"))
+    forms = own.select(*_LEXEME, "document_id", "ordinal", F.explode(F.arrays_zip("starts", "values")).alias("f")).groupBy(*_LEXEME, F.col("f.values").alias("form")).agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("document_id", "ordinal", "f.starts")).alias("first"))
     words = F.size(F.regexp_extract_all("form", F.lit(r"\p{L}+(?:[-’']\p{L}+)*"), F.lit(0)))
     best = forms.groupBy(*_LEXEME).agg(
         F.transform(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("less"), "first", "form"))), lambda f: f["form"]).alias("forms"),
@@ -316,7 +314,7 @@ def reservoir(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def evidence(chosen_: DataFrame, rows: DataFrame, segments: DataFrame) -> DataFrame:
     """(scope, family, place, id, form, start, end, quote): at most ``EVIDENCE`` places of each chosen lexeme, spread evenly over a reservoir of its occurrences, in their surroundings."""
     own = rows.join(F.broadcast(chosen_.select(*_LEXEME)), _LEXEME, "left_semi")  # at most MOST_BUDGET rows a scope
-    hits = own.select(*_LEXEME, "document_id", "ordinal", "id", F.explode("places").alias("p")).select(*_LEXEME, "ordinal", "document_id", "id", F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.form").alias("form"))
+    hits = own.select(*_LEXEME, "document_id", "ordinal", "id", F.explode(F.arrays_zip("starts", "values")).alias("p")).select(*_LEXEME, "ordinal", "document_id", "id", F.col("p.starts").alias("start"), (F.col("p.starts") + F.length("p.values")).alias("end"), F.col("p.values").alias("form"))
     kept = reservoir(hits, _LEXEME, ["ordinal", "document_id", "id", "start", "end"])
     w = Window.partitionBy(*_LEXEME)
     ranked = kept.withColumn("k", F.row_number().over(w.orderBy("slot")) - 1).withColumn("all", F.count(F.lit(1)).over(w))
