@@ -27,7 +27,6 @@ from folioquarry.session import cut_lineage, small, spread
 
 WORDS, HAN, LITERALS = 13, 25, 4
 BITS = (22, 26)  # of the bitmap: 512 KB for up to 100,000 windows of items, 8 MB at most
-LEXICON_ITEMS, LEXICON_WORDS = 20_000, 50_000  # bounds of the sample of items and of the lexicon that tells names from words
 # Units of measure and money.
 UNITS = frozenset("km m cm mm kg g mg l ml ha mile miles mile foot feet inch inches pound pounds ounce ounces ton tons shilling shillings crown crowns mark taler franc francs real reales livre livres percent prozent".split())
 
@@ -142,11 +141,9 @@ def _window_rows(df: DataFrame, ordinary: frozenset[str], bitmap: np.ndarray | N
 
 
 def _lexicon(items: DataFrame, text: str) -> frozenset[str]:
-    """Ordinary words: those written in lower case in a bounded sample of the items. It only types slots, so its bound costs no leak."""
-    sample = items.where(F.col(text).isNotNull()).orderBy(F.xxhash64(text), text).limit(LEXICON_ITEMS).select(text)
-    found = (sample.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{M}\p{N}])\p{Ll}[\p{L}\p{M}]*"), F.lit(0))).alias("w"))
-             .groupBy("w").count().orderBy(F.desc("count"), "w").limit(LEXICON_WORDS).select("w").collect())
-    return frozenset(w for r in found for w in words(r.w))
+    """Ordinary words: all that are written in lower case anywhere in the items. The driver and the tasks hold each once."""
+    found = items.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{M}\p{N}])\p{Ll}[\p{L}\p{M}]*"), F.lit(0))).alias("w")).distinct().toPandas()["w"]
+    return frozenset(w for x in found for w in words(x))
 
 
 def _bitmap(of_items: DataFrame) -> np.ndarray:
@@ -181,8 +178,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
 def item_classes(items: DataFrame, item_id: str = "item_id", passage: str = "passage") -> DataFrame:
     """(item_id, class_id, members): items that differ only by a consistent renaming of their slots form one class, named by its least id.
 
-    Which words are slots is told by the lexicon, a bounded sample of the items: a larger one leaves fewer names. Null ids and
-    null or empty passages are left out; repeated rows count once.
+    Which words are slots is told by the lexicon of all items. Null ids and null or empty passages are left out; repeated rows
+    count once.
     """
     ordinary = _lexicon(items, passage)
 

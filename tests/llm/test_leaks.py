@@ -47,6 +47,15 @@ def test_item_classes(spark):
     assert {(r.doc_id, r["items"]) for r in own if r.class_id == 1} == {(9, 2), (8, 1)}
 
 
+def test_lexicon_has_the_words_of_all_items(spark):
+    from itertools import product
+
+    often = " ".join(["".join(x) for x in product("abcdefghijklmno", repeat=4)] * 2)  # 50,625 words, each twice
+    rare = [(2, "the clerk kept his ledger dry under salt water"), (3, "our baker sold her loaves cheap near every church")]
+    got = {tuple(r) for r in L.item_classes(*found(spark, [], [(1, often), *rare])[1:]).collect()}
+    assert got == {(1, 1, 1), (2, 2, 1), (3, 3, 1)}
+
+
 def test_windows_agree_with_brute_force(spark):
     import random
 
