@@ -106,6 +106,35 @@ def test_near_texts_agree_with_brute_force(spark):
     assert got == want and got["w", "wide"] == 1 and ("w", "wide2") in got
 
 
+def test_near_by_bounds_loses_no_pair():
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    def make(n, letters="etaoinshrdlucmfwypvbgkqjxz   "):
+        return "".join(rng.choices(letters, [30 - k for k in range(len(letters))], k=n)) or "x"
+    def odd(t, share):
+        return "".join(rng.choice(["", c + rng.choice("etaoin "), rng.choice("qzé信𝔸")]) if rng.random() < share else c for c in t) or "x"
+    bases = [make(n) for n in (1, 2, 9, 40, 63, 64, 65, 130, 260, 600)]
+    q = [odd(b, s) for b in bases for s in (0, 0.15, 0.25)] + [make(n) for n in (100, 250, 255, 400)]
+    e = [odd(b, s) for b in bases for s in (0, 0.1, 0.2, 0.3)] + [make(n, x) for n in (60, 250, 500) for x in ("ab", "aaab ", "etaoinshrdlu")] + [make(n) for n in range(100, 400, 2)]
+    ratios = {(i, k): SequenceMatcher(None, a, b, False).ratio() for i, a in enumerate(q) for k, b in enumerate(e)}
+    want, many = {at: r for at, r in ratios.items() if r >= 0.78}, memory.MANY
+    try:
+        for memory.MANY in (0, many):  # 0: wide parts are compared however few texts are left
+            assert {(i, k): r for i, k, r in memory.near(q, e, 0.78)} == want and len(want) > 60
+            top = {i: sorted((r for (j, _), r in want.items() if j == i), reverse=True) for i in range(len(q))}
+            assert {(i, k): r for i, k, r in memory.near(q, e, 0.78, 2)} == {(i, k): r for (i, k), r in want.items() if r in top[i][:2]}
+    finally:
+        memory.MANY = many
+    # Most pairs are excluded before anything is compared one by one.
+    held = memory._Entries(e)
+    own = memory.np.zeros((1, len(held.chars)), memory.np.int16)
+    for c in q[-2]:
+        own[0, held.chars[c]] += 1
+    assert len(held.left(q[-2], [x[:, 0] for x in held.unary(own)], 0.78)) < 40
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["plain ", "`code` ", "<b>", "https://a.b/c ", "[^3]", "{{x}} ", "⟦7⟧", "a@b.co "]), max_size=12))
 def test_masking_round_trip(parts):
