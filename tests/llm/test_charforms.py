@@ -70,3 +70,11 @@ def test_large_class_is_dealt(spark, monkeypatch):
     rows = [(f"{n:02d}", "d", "Pope" if n % 2 else "Pоpe") for n in range(20)]
     pairs = C.look_alike_pairs(spark.createDataFrame(rows, "id string, s string, t string"), "id", ["s"], "t").collect()
     assert len(pairs) == len({tuple(p) for p in pairs}) == 100
+
+
+def test_a_few_kinds_and_many_are_replaced_alike():
+    looks = C._python_tables()[1]
+    many = "，；（）：！？ｆｕｌｌ　ｗｉｄｔｈ"
+    for text in ("汉，字；汉（字）", "字" + many, many[:8], many[:9]):
+        assert C.consistent(text) == C.unicodedata.normalize("NFC", text.translate(looks))
+    assert set("，；（") <= C._settled().keys() and all(C.consistent(x) == x for x in C._settled().values() if len(x) == 1)
